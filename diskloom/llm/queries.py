@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from diskloom.llm.canon import map_aliases
 from diskloom.llm.components import verdict_groups
 from diskloom.llm.encode import encode_corpus
 from diskloom.session import table
@@ -14,12 +15,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return verdict_groups(table(spark, d, "match_pairs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The series that every typed alias means, or ''."""
+    return map_aliases(table(spark, d, "series_alias"), table(spark, d, "series_defs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 SQL = {
     "p1_found": """
