@@ -96,3 +96,18 @@ def split_camel(text: str) -> str:
     if re.search(r"\b[a-z]+[A-Z]{2}|\b[a-z][A-Z]", text):
         return text
     return _CAMEL.sub(" ", text)
+
+
+# What is written where a value is not known.
+STAND_INS = frozenset(
+    "unknown|(unknown)|<unknown>|[unknown]|unknown artist|unk|unknwon|not known|not available|not applicable|n/a|na|n.a.|n.a|none|(none)|<none>|null|(null)|nil|nan|tba|tbc|tbd|"
+    "to be announced|anonymous|inconnu|inconnue|unbekannt|onbekend|desconocido|sconosciuto|okänd|various|misc|empty|blank|undefined|no name|noname|missing|nobody|no one|?|x|xx|xxx".split("|")
+)
+
+
+def says_nothing(value: str | None) -> bool:
+    """Whether a value is absent or a stand-in for an absent one: NULL, blank, signs only, or one of the fixed words."""
+    if value is None:
+        return True
+    text = plain(value).strip().lower()
+    return not any(c.isalnum() for c in text) or text in STAND_INS or text.strip("()<>[]{}\"'.*- ") in STAND_INS
