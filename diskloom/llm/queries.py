@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from diskloom.llm.canon import map_aliases
 from diskloom.llm.components import verdict_groups
 from diskloom.llm.encode import encode_corpus
+from diskloom.llm.names import variant_pairs
 from diskloom.session import table
 
 
@@ -15,6 +17,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return verdict_groups(table(spark, d, "match_pairs"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every two spellings of one crew among the names of crews and the crackers of titles."""
+    crews, contents = table(spark, d, "crew_records"), table(spark, d, "content_records")
+    values = crews.select(F.col("name").alias("value")).union(contents.select("cracker"))
+    return variant_pairs(values, crews.select(F.col("name").alias("value"), "members"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The series that every typed alias means, or ''."""
     return map_aliases(table(spark, d, "series_alias"), table(spark, d, "series_defs"))
@@ -25,7 +34,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 SQL = {
     "p1_found": """
