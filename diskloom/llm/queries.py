@@ -9,6 +9,8 @@ from diskloom.llm.canon import map_aliases
 from diskloom.llm.components import verdict_groups
 from diskloom.llm.encode import encode_corpus
 from diskloom.llm.names import variant_pairs
+from diskloom.llm.survivor import surviving_contents
+from diskloom.functions.text import STAND_INS
 from diskloom.session import table
 
 
@@ -24,6 +26,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(values, crews.select(F.col("name").alias("value"), "members"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The rows whose publisher and cracker survive for each title."""
+    return surviving_contents(table(spark, d, "content_records"), table(spark, d, "source_batches"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The series that every typed alias means, or ''."""
     return map_aliases(table(spark, d, "series_alias"), table(spark, d, "series_defs"))
@@ -34,9 +41,28 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+
+_NOTHING = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STAND_INS))
 
 SQL = {
+    "p4_found": f"""
+        WITH c AS (
+          SELECT c.title_id, c.content_id, c.publisher, c.cracker, coalesce(b.priority, 90) AS priority, b.retrieved
+          FROM content_records c LEFT JOIN source_batches b USING (batch_id) WHERE c.title_id IS NOT NULL),
+        l AS (
+          SELECT title_id, content_id, priority, retrieved, 'publisher' AS field, publisher AS value FROM c
+          UNION ALL SELECT title_id, content_id, priority, retrieved, 'cracker', cracker FROM c),
+        v AS (
+          SELECT * FROM l WHERE regexp_matches(value, '[\\p{{L}}\\p{{N}}]') AND NOT contains(value, chr(65533))
+            AND NOT regexp_matches(value, '(…|\\.\\.\\.)\\s*$')
+            AND lower(trim(value)) NOT IN ({_NOTHING})),
+        k AS (
+          SELECT title_id, field, content_id,
+                 row_number() OVER (PARTITION BY title_id, field ORDER BY priority, retrieved DESC NULLS LAST, content_id) AS k
+          FROM v WHERE title_id IN (SELECT title_id FROM c GROUP BY title_id HAVING count(DISTINCT content_id) > 1))
+        SELECT title_id, field, content_id FROM k WHERE k = 1
+    """,
     "p1_found": """
         WITH RECURSIVE v AS (
           SELECT CASE WHEN lower(trim(left_kind)) = 'disk' THEN left_id ELSE left_id + 1000000000000 END AS l,
