@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diskloom.llm.canon import map_aliases
 from diskloom.llm.components import verdict_groups
+from diskloom.llm.crossmatch import cross_source_pairs, unseried_discs
 from diskloom.llm.encode import encode_corpus
 from diskloom.llm.names import variant_pairs
 from diskloom.llm.survivor import surviving_contents
@@ -31,6 +32,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_contents(table(spark, d, "content_records"), table(spark, d, "source_batches"))
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Records of one disc from different sources, with the confidence of each match."""
+    return cross_source_pairs(unseried_discs(table(spark, d, "disk_records"), table(spark, d, "content_records"), table(spark, d, "image_records")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs alone."""
+    return p5_matches(spark, d).select("record_a", "record_b")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The series that every typed alias means, or ''."""
     return map_aliases(table(spark, d, "series_alias"), table(spark, d, "series_defs"))
@@ -41,7 +52,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids}
 
 _NOTHING = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STAND_INS))
 
