@@ -9,6 +9,7 @@ from diskloom.llm.canon import map_aliases
 from diskloom.llm.components import verdict_groups
 from diskloom.llm.crossmatch import cross_source_pairs, unseried_discs
 from diskloom.llm.encode import encode_corpus
+from diskloom.llm.leakage import leaked_items, without_leaks
 from diskloom.llm.names import variant_pairs
 from diskloom.llm.survivor import surviving_contents
 from diskloom.functions.text import STAND_INS
@@ -52,7 +53,22 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids}
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation item, with the share of its words."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs alone."""
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that may stay in the training text."""
+    return without_leaks(table(spark, d, "documents"), p8_leaks(spark, d)).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean}
 
 _NOTHING = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STAND_INS))
 
