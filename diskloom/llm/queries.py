@@ -11,6 +11,7 @@ from diskloom.llm.crossmatch import cross_source_pairs, unseried_discs
 from diskloom.llm.encode import encode_corpus
 from diskloom.llm.leakage import leaked_items, without_leaks
 from diskloom.llm.names import variant_pairs
+from diskloom.llm.spam import stuffed_pages, stuffing_scores
 from diskloom.llm.survivor import surviving_contents
 from diskloom.functions.text import STAND_INS
 from diskloom.session import table
@@ -68,7 +69,17 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), p8_leaks(spark, d)).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is stuffing."""
+    return stuffing_scores(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are made for search engines."""
+    return stuffed_pages(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_found": p9_found, "p9_scores": p9_scores}
 
 _NOTHING = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STAND_INS))
 
