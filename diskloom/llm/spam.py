@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ _LINK = re.compile(
     r"|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|com|net|org|info|biz|de|uk|nl|fr|eu|io|co|shop|online|site)\b(?:/\S*)?",
     re.I | re.S,
 )
+_LINK_MARKS = ("://", "www.", "WWW.", "#", "<a", "<A", "](")
+_DOMAIN = re.compile(r"\.(?:example|com|net|org|info|biz|de|uk|nl|fr|eu|io|co|shop|online|site)\b", re.I)
 _PRICE = re.compile(r"(?:\b(?:eur|usd|gbp|dm)\b|[€$£])\s*\d+(?:[.,]\d\d)?|\d+[.,]\d\d\s*(?:\b(?:eur|usd|gbp|dm)\b|[€$£])", re.I)
 _TOKEN = re.compile(r"[^\W_]+")
 _CLAUSE_END = re.compile(r"(?<=[.!?])\s+")
@@ -34,59 +37,86 @@ def repeated(tokens: list[str]) -> list[bool]:
     """Whether each token lies in a substring of two or more tokens that occurs again in the list.
 
     A suffix automaton of the list is built in one pass. Its states are the maximal repeated substrings with their
-    numbers of occurrences; from each end, the longest one that occurs twice covers its tokens.
+    numbers of occurrences; from each end, the longest one that occurs twice covers its tokens. A token that occurs
+    once lies in no repeated substring: the automaton starts anew behind it, as for a further string.
     """
+    times = Counter(tokens)
     arcs: list[dict[str, int]] = [{}]
     link, length, count = [-1], [0], [0]
     last, ends = 0, []
     for t in tokens:
-        new = len(arcs)
-        arcs.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        count.append(1)
+        if times[t] == 1:
+            last = 0
+            ends.append(0)
+            continue
+        if (q := arcs[last].get(t)) is not None and length[last] + 1 == length[q]:
+            count[q] += 1
+            last = q
+            ends.append(q)
+            continue
         p = last
-        while p != -1 and t not in arcs[p]:
-            arcs[p][t] = new
-            p = link[p]
-        if p != -1:
+        if q is None:
+            new = len(arcs)
+            arcs.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            count.append(1)
+            while p != -1 and t not in arcs[p]:
+                arcs[p][t] = new
+                p = link[p]
+            last = new
+            if p == -1:
+                ends.append(new)
+                continue
             q = arcs[p][t]
             if length[p] + 1 == length[q]:
                 link[new] = q
-            else:
-                clone = len(arcs)
-                arcs.append(dict(arcs[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                count.append(0)
-                while p != -1 and arcs[p].get(t) == q:
-                    arcs[p][t] = clone
-                    p = link[p]
-                link[q] = link[new] = clone
-        last = new
-        ends.append(new)
+                ends.append(new)
+                continue
+        else:
+            new = -1
+        clone = len(arcs)
+        arcs.append(arcs[q].copy())
+        link.append(link[q])
+        length.append(length[p] + 1)
+        count.append(0)
+        while p != -1 and arcs[p].get(t) == q:
+            arcs[p][t] = clone
+            p = link[p]
+        link[q] = clone
+        if new >= 0:
+            link[new] = clone
+        else:
+            count[clone] += 1
+            last = clone
+        ends.append(last)
     for v in sorted(range(1, len(arcs)), key=length.__getitem__, reverse=True):
         if link[v] > 0:
             count[link[v]] += count[v]
-    change = [0] * (len(tokens) + 1)
-    for i, v in enumerate(ends):
-        while v > 0 and count[v] < 2:
-            v = link[v]
-        if v > 0 and length[v] >= 2:
-            change[i - length[v] + 1] += 1
-            change[i + 1] -= 1
-    out, depth = [], 0
-    for c in change[:-1]:
-        depth += c
-        out.append(depth > 0)
+    reach: list[int] = []  # of each state the length of the longest repeated suffix, found once
+    for v in range(len(arcs)):
+        u = v
+        while u > 0 and count[u] < 2:
+            u = link[u]
+        reach.append(length[u] if u > 0 and length[u] >= 2 else 0)
+    out = [False] * len(tokens)
+    covered = len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        start = i - reach[ends[i]] + 1
+        if start <= i:
+            covered = min(covered, start)
+        if covered <= i:
+            out[i] = True
+        if covered == i:
+            covered = len(tokens)
     return out
 
 
-def units(text: str) -> Iterator[str]:
-    """The lines of a text; long ones without links fall into sentences."""
+def units(text: str, linked: bool) -> Iterator[str]:
+    """The lines of a text; long ones without links (there are none unless ``linked``) fall into sentences."""
     for line in text.split("\n"):
         line = line.strip()
-        if len(line) > 120 and not _LINK.search(line):
+        if len(line) > 120 and not (linked and _LINK.search(line)):
             yield from filter(None, (u.strip() for u in _CLAUSE_END.split(line)))
         elif line:
             yield line
@@ -99,7 +129,10 @@ def stuffing(text: str) -> tuple[float, float, int]:
     dense in it and it is long or repeats what the page says elsewhere; if it repeats a phrase on a page whose repeated
     units are about searching; or if it is a long stretch of repeated words without any pause, so without clauses.
     """
-    parts = list(units(plain(text)))
+    page = plain(text)
+    linked = any(mark in page for mark in _LINK_MARKS) or _DOMAIN.search(page) is not None
+    priced = _PRICE.search(page) is not None
+    parts = list(units(page, linked))
     tokens: list[str] = []
     spans = []
     for u in parts:
@@ -107,27 +140,27 @@ def stuffing(text: str) -> tuple[float, float, int]:
         spans.append((len(tokens), len(tokens) + len(words)))
         tokens += words
     again = repeated(tokens)
-    total = stuffed = covered = 0
+    total = stuffed = 0
+    covered = sum(len(w) for w, r in zip(tokens, again) if r)
+    upto = [0, *accumulate(again)]
     seen = []
     hunted: set[str] = set()
     for u, (a, b) in zip(parts, spans):
         words = tokens[a:b]
         n = max(1, len(words))
-        counts = Counter(words)
-        again_share = sum(again[a:b]) / n
-        most = max(counts.values(), default=0)
-        if again_share >= 0.5 and most >= 2 and n >= 3:
-            hunted |= counts.keys() & SEARCH_WORDS
-        seen.append((u, n, again_share, sum(c for w, c in counts.items() if w in SEARCH_WORDS) / n, most, len(counts) / n))
-        covered += sum(len(w) for w, r in zip(words, again[a:b]) if r)
-    for u, n, again_share, searched, most, fresh in seen:
+        kinds = set(words)
+        again_share = (upto[b] - upto[a]) / n
+        if again_share >= 0.5 and len(kinds) < len(words) and n >= 3:
+            hunted |= kinds & SEARCH_WORDS
+        searched = 0 if kinds.isdisjoint(SEARCH_WORDS) else sum(w in SEARCH_WORDS for w in words)
+        seen.append((u, n, again_share, searched / n, len(kinds) < len(words), len(kinds) / n))
+    for u, n, again_share, searched, twice, fresh in seen:
         total += len(u)
-        links = sum(len(m[0]) for m in _LINK.finditer(u))
         if (
-            links >= 0.6 * len(u)
-            or (searched >= 0.1 and _PRICE.search(u))
+            (linked and sum(len(m[0]) for m in _LINK.finditer(u)) >= 0.6 * len(u))
+            or (priced and searched >= 0.1 and _PRICE.search(u))
             or (searched >= 0.15 and (n >= 15 or (n >= 6 and again_share >= 0.5)))
-            or (len(hunted) >= 3 and again_share >= 0.7 and most >= 2 and n >= 3)
+            or (len(hunted) >= 3 and again_share >= 0.7 and twice and n >= 3)
             or (again_share >= 0.75 and fresh < 0.5 and n >= 15 and max(len(_TOKEN.findall(x)) for x in _PAUSE.split(u)) >= 15)
         ):
             stuffed += len(u)
