@@ -101,7 +101,7 @@ def split_camel(text: str) -> str:
 # What is written where a value is not known.
 STAND_INS = frozenset(
     "unknown|(unknown)|<unknown>|[unknown]|unknown artist|unk|unknwon|not known|not available|not applicable|n/a|na|n.a.|n.a|none|(none)|<none>|null|(null)|nil|nan|tba|tbc|tbd|"
-    "to be announced|anonymous|inconnu|inconnue|unbekannt|onbekend|desconocido|sconosciuto|okänd|various|misc|empty|blank|undefined|no name|noname|missing|nobody|no one|?|x|xx|xxx".split("|")
+    "to be announced|anonymous|inconnu|inconnue|unbekannt|onbekend|desconocido|sconosciuto|okänd|various|misc|empty|blank|undefined|no name|noname|missing|nobody|no one|?".split("|")
 )
 
 
