@@ -166,19 +166,29 @@ class Group:
             yield r["record_id"], disc["id"], way, self.add(disc, r)
 
 
-def _run_group(rows: pd.DataFrame) -> pd.DataFrame:
-    first_owner = {k: o for pairs in rows["owners"] for k, o in (pairs if pairs is not None else [])}
-    records = []
-    for t in rows.itertuples(index=False):
-        d = t._asdict()
-        d["number"] = None if pd.isna(d["number"]) else int(d["number"])
-        d["key"] = d["key"] if isinstance(d["key"], str) else None
-        d["image_keys"] = [list(k) for k in d["image_keys"]]
-        d["image_names"] = [list(k) for k in d["image_names"]]
-        d["urls"] = list(d["urls"])
-        records.append(d)
-    out = list(Group(first_owner).run(records))
-    return pd.DataFrame(out, columns=["record_id", "disc", "way", "images"]).astype({"disc": "Int64"})
+def _run_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs the rules over rows sorted by group; a group may span batches, groups need no call of their own."""
+
+    def done(records: list[dict], owners: dict[str, str]) -> list[tuple]:
+        return list(Group(owners).run(records))
+
+    label, held, owners = None, [], {}
+    for b in batches:
+        out: list[tuple] = []
+        for t in b.itertuples(index=False):
+            if t.label != label:
+                out += done(held, owners)
+                label, held, owners = t.label, [], {}
+            if t.owners is not None:
+                owners.update(tuple(pair) for pair in t.owners)
+            held.append(
+                {
+                    "record_id": t.record_id, "platform": t.platform, "number": None if pd.isna(t.number) else int(t.number), "title": t.title, "seq": t.seq, "phase": t.phase,
+                    "key": t.key if isinstance(t.key, str) else None, "image_keys": [list(k) for k in t.image_keys], "image_names": [list(k) for k in t.image_names], "urls": list(t.urls),
+                }
+            )
+        yield pd.DataFrame(out, columns=["record_id", "disc", "way", "images"]).astype({"disc": "Int64"})
+    yield pd.DataFrame(done(held, owners), columns=["record_id", "disc", "way", "images"]).astype({"disc": "Int64"})
 
 
 def merge_records(records: DataFrame) -> DataFrame:
@@ -217,7 +227,7 @@ def merge_records(records: DataFrame) -> DataFrame:
     labels = label_groups(edges)
     owners = hashes.join(shared, "k").groupBy("record_id").agg(F.collect_set(F.array("k", "owner")).alias("owners"))
     grouped = rows.join(labels.select(F.col("node").alias("record_id"), "label"), "record_id", "left").withColumn("label", F.coalesce("label", "record_id")).join(owners, "record_id", "left")
-    done = grouped.groupBy("label").applyInPandas(_run_group, "record_id long, disc long, way string, images array<int>")
+    done = grouped.repartition("label").sortWithinPartitions("label", "seq").mapInPandas(_run_groups, "record_id long, disc long, way string, images array<int>")
     return done.unionByName(later)
 
 
