@@ -11,14 +11,16 @@ MOST_HOT_KEYS = 1000
 LEAST_HOT_ROWS = 200_000
 
 
-def hot_keys(left: DataFrame, key: str, least_rows: int = LEAST_HOT_ROWS) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, least_rows: int = LEAST_HOT_ROWS) -> list:
     """Keys of ``left`` that own at least ``least_rows`` rows and a thousandth of all rows: at most MOST_HOT_KEYS.
 
-    Counted with map-side combining; NULL is never a key.
+    Counted with map-side combining, and only if there are rows enough for one; NULL is never a key.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
-    return counts.where(F.col("_n") >= max(least_rows, -(-total // MOST_HOT_KEYS))).select(key)
+    if total < least_rows:
+        return []
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") >= max(least_rows, -(-total // MOST_HOT_KEYS))).select(key).collect()]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", least_rows: int = LEAST_HOT_ROWS) -> DataFrame:
@@ -26,9 +28,9 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
 
     Rows of the few hot keys meet a broadcast of just those keys' rows (at most MOST_HOT_KEYS rows, as ``right`` is
     unique); all other rows take an ordinary shuffled join. An empty ``left`` gives an empty result, NULL keys match
-    nothing. ``left`` is read three times: pass a checkpointed or cheaply scanned frame.
+    nothing. ``left`` is read up to four times: pass a checkpointed or cheaply scanned frame.
     """
-    hot = [r[0] for r in hot_keys(left, key, least_rows).collect()]  # at most MOST_HOT_KEYS values
+    hot = hot_keys(left, key, least_rows)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
