@@ -66,4 +66,4 @@ def sound(word: str) -> str:
     """A lower-case word with letters and groups that are typed for one another made equal."""
     for a, b in (("ph", "f"), ("ck", "k"), ("cks", "x"), ("cs", "x"), ("ks", "x"), ("qu", "k"), ("c", "k"), ("q", "k"), ("z", "s"), ("y", "i"), ("w", "v")):
         word = word.replace(a, b)
-    return single(word)
+    return word

@@ -83,9 +83,10 @@ def unleet(word: str) -> str:
         return word
     letters = sum(c.isalpha() for c in word)
     digits = sum(c.isdigit() or c in "@$" for c in word)
-    if letters < 2 or any(c in "2689" for c in word) or digits > letters + 2:
+    read = word.translate(_LEET)
+    if read.lower() != "the" and (letters < 2 or any(c in "2689" for c in word) or digits > letters + 2):
         return word
-    return word.translate(_LEET)
+    return read
 
 
 _CAMEL = re.compile(r"(?<=[a-z]{2})(?=[A-Z][a-z]{2})")

@@ -52,7 +52,7 @@ def releases_by_platform(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT record_id, name, coalesce(arg_min(crc32, image_record_id) FILTER (crc32 <> ''), '') AS crc32, coalesce(arg_min(flags, image_record_id) FILTER (flags <> ''), '') AS flags, bool_or(coalesce(bad, false)) AS bad
+    SELECT record_id, name, coalesce(arg_min(crc32, (image_record_id, crc32)) FILTER (crc32 <> ''), '') AS crc32, coalesce(arg_min(flags, (image_record_id, flags)) FILTER (flags <> ''), '') AS flags, bool_or(coalesce(bad, false)) AS bad
     FROM image_records GROUP BY record_id, name""")
 def dumps_filled(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one dump of a record as one: the first checksum and flags given, bad if any row says so."""
@@ -64,7 +64,7 @@ def dumps_filled(spark: SparkSession, d: str) -> DataFrame:
     m AS (SELECT name, trim(m) AS m, min((crew_record_id, i)) AS first_at FROM (SELECT name, crew_record_id, unnest(members) AS m, generate_subscripts(members, 1) AS i FROM r) WHERE trim(m) <> '' GROUP BY ALL),
     l AS (SELECT name, string_agg(m, ', ' ORDER BY first_at) AS members FROM m GROUP BY name),
     n AS (SELECT name, string_agg(n, chr(10) || chr(10) ORDER BY first_at) AS notes FROM (SELECT name, trim(notes) AS n, min(crew_record_id) AS first_at FROM r WHERE trim(notes) <> '' GROUP BY ALL) GROUP BY name)
-    SELECT r.name, coalesce(arg_min(founded, crew_record_id) FILTER (founded <> ''), '') AS founded, coalesce(any_value(n.notes), '') AS notes, coalesce(any_value(l.members), '') AS members
+    SELECT r.name, coalesce(arg_min(founded, (crew_record_id, founded)) FILTER (founded <> ''), '') AS founded, coalesce(any_value(n.notes), '') AS notes, coalesce(any_value(l.members), '') AS members
     FROM r LEFT JOIN l USING (name) LEFT JOIN n USING (name) GROUP BY r.name""")
 def crews_pooled(spark: SparkSession, d: str) -> DataFrame:
     """The records of each crew name as one: members pooled, notes joined, the first founding date."""

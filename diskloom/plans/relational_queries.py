@@ -132,9 +132,9 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT series_key, number, arg_min(title, (pr, record_id)) FILTER (title <> '') AS title_, coalesce(arg_min(title, (pr, record_id)) FILTER (title <> ''), '') AS title,
-           coalesce(arg_min(kind, (pr, record_id)) FILTER (kind <> ''), '') AS kind, coalesce(arg_min(cracker, (pr, record_id)) FILTER (cracker <> ''), '') AS cracker
-    FROM {_RECORDS} GROUP BY series_key, number""".replace("arg_min(title, (pr, record_id)) FILTER (title <> '') AS title_, ", ""))
+    SELECT series_key, number, coalesce(arg_min(title, (pr, record_id, title)) FILTER (title <> ''), '') AS title,
+           coalesce(arg_min(kind, (pr, record_id, kind)) FILTER (kind <> ''), '') AS kind, coalesce(arg_min(cracker, (pr, record_id, cracker)) FILTER (cracker <> ''), '') AS cracker
+    FROM {_RECORDS} GROUP BY series_key, number""")
 def keyed_merge_first_values(spark: SparkSession, d: str) -> DataFrame:
     """The records of each numbered disc merged: each field from the most trusted source that gives it."""
     return R.first_present(_records(spark, d), ["series_key", "number"], ["title", "kind", "cracker"], ["pr", "record_id"])
