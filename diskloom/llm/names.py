@@ -19,6 +19,8 @@ from diskloom.session import cut
 _FILLERS = frozenset("the teh hte thee of and crew cru crw creww group grp groop gang inc ltd uk usa st amiga posse possee team".split())
 #: Edits (Levenshtein) within which whole names are looked for, and (with swaps as one) within which they are linked.
 SEARCH_EDITS, NAME_EDITS, WORD_EDITS = 3, 3, 2  # a short word may hold WORD_EDITS at most
+#: Members, and their share of the shorter list, that the records of one crew must have in common.
+SHARED_MEMBERS, SHARED_SHARE = 3, 0.6
 _SKELETON = str.maketrans("cqzw", "kksv")
 
 
@@ -48,9 +50,11 @@ def parse_crew(value: str | None) -> tuple[str, list[str]]:
         words.append(w)
         dotted.append(t.endswith("."))
     if len(words) == 3:  # one of them may be a mistyped filler
-        near = [i for i, w in enumerate(words) if len(w) <= 5 and any(edit_distance(w, f, 1) <= 1 for f in _FILLERS if len(f) >= max(2, len(w) - 1))]
-        if len(near) == 1:
-            del words[near[0]], dotted[near[0]]
+        for most in (1, 2):
+            near = [i for i, w in enumerate(words) if len(w) <= 4 + most and any(edit_distance(w, f, most) <= most for f in _FILLERS if len(f) >= max(2, len(w) - most))]
+            if len(near) == 1 and (most == 1 or min(len(w) for i, w in enumerate(words) if i != near[0]) > 5):
+                del words[near[0]], dotted[near[0]]
+                break
     if len(words) > 3 or (len(words) > 2 and re.search(r"\S\s+[-/+&]\s+\S", text)):
         return "joint", words
     if not words:
@@ -132,7 +136,7 @@ def same_name(a: list[str], b: list[str]) -> bool:
     x, y = "".join(a), "".join(b)
     if len(a) == len(b) == 2:
         for c in (b, b[::-1]):
-            one, two = (edit_distance(x, y, NAME_EDITS) for x, y in zip(a, c))
+            one, two = (min(edit_distance(x, y, NAME_EDITS), edit_distance(single(x), single(y), NAME_EDITS)) for x, y in zip(a, c))
             if one + two <= NAME_EDITS and (max(one, two) <= WORD_EDITS or min(map(len, (*a, *c))) > 6):
                 return True
         return False
@@ -198,8 +202,8 @@ def _member_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "n", "pair"])
 
 
-def _member_edges(rosters: DataFrame, least_shared: int = 3, least_share: float = 0.6) -> DataFrame:
-    """Pairs of names whose records list largely the same members: ``a, b``.
+def _shared_members(rosters: DataFrame) -> DataFrame:
+    """Names whose records share two members or more: ``a, b, s`` (how many) and ``n`` (of the shorter list).
 
     Rosters (``node, members``) meet by pairs of members, which are far rarer than members. ``s`` shared members make
     s (s - 1) / 2 shared pairs.
@@ -208,8 +212,21 @@ def _member_edges(rosters: DataFrame, least_shared: int = 3, least_share: float
     pairs = pairs.groupBy("node", "pair").agg(F.min("n").alias("n"))
     met = pairs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "pair").join(pairs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "pair"), "pair").where("a < b")
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("n_a"), F.min("n_b")).alias("n"))
-    met = met.withColumn("s", (1 + F.sqrt(1 + 8 * F.col("shared"))) / 2)
-    return met.where((F.col("s") >= F.least(F.lit(float(least_shared)), F.col("n"))) & (F.col("s") >= least_share * F.col("n"))).select("a", "b")
+    return met.select("a", "b", "n", F.round((1 + F.sqrt(1 + 8 * F.col("shared"))) / 2).cast("int").alias("s"))
+
+
+def _weak_members(shared: DataFrame, whole: DataFrame, settled: DataFrame) -> DataFrame:
+    """``node, grp``: short names that fit no whole name by letters, with the only group that most of their lists of two members are in.
+
+    Two lists may share two members by chance, so this decides only for names (not in ``settled``) that nothing else
+    places.
+    """
+    both = shared.where("s = 2 AND n = 2")
+    ways = both.select(F.col("a").alias("node"), F.col("b").alias("full")).unionByName(both.select(F.col("b").alias("node"), F.col("a").alias("full")))
+    ways = ways.where("node NOT LIKE 'full:%'").join(whole.withColumnRenamed("node", "full"), "full").join(settled, "node", "left_anti")
+    votes = ways.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("v"))
+    top = votes.groupBy("node").agg(F.max("v").alias("v"))
+    return votes.join(top, ["node", "v"]).groupBy("node").agg(F.min("grp").alias("grp"), F.max("grp").alias("high")).where("grp = high").select("node", "grp")
 
 
 def _group(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -247,7 +264,10 @@ def name_groups(values: DataFrame, rosters: DataFrame | None = None) -> DataFram
     edges = lexical.select(F.col("node").alias("a"), as_node("grp").alias("b")).unionByName(first.select(F.col("node").alias("a"), as_node("grp").alias("b")))
     if rosters is not None:
         known = rosters.where("value IS NOT NULL").join(parsed.select("value", "node"), "value").select("node", "members")
-        edges = edges.unionByName(_member_edges(known))
+        shared = cut(_shared_members(known))
+        strong = shared.where((F.col("s") >= SHARED_MEMBERS) & (F.col("s") >= SHARED_SHARE * F.col("n"))).select("a", "b")
+        settled = lexical.select("node").unionByName(strong.select(F.col("a").alias("node"))).unionByName(strong.select(F.col("b").alias("node"))).distinct()
+        edges = edges.unionByName(strong).unionByName(_weak_members(shared, first, settled).select(F.col("node").alias("a"), as_node("grp").alias("b")))
     final = _group(edges, nodes)
     return parsed.join(final, "node").select("value", "grp")
 
