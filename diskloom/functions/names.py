@@ -285,6 +285,13 @@ def host_of(c: Column) -> Column:
 
 
 def register(spark) -> None:
-    """Make the two folding functions, which have no built-in counterpart, available to ``spark.sql``."""
+    """Make the forms that SQL users need available to ``spark.sql``: ``fold_text``, ``fold_ascii``, ``dump_name`` and, as SQL functions, ``normalise_text`` and ``sort_form``."""
+    from diskloom.functions.dumpnames import _parsed
+
     spark.udf.register("fold_text", _fold)
     spark.udf.register("fold_ascii", _to_ascii)
+    spark.udf.register("dump_name", _parsed)
+    words = r"""trim(regexp_replace(regexp_replace(replace(if(c rlike r'^\p{ASCII}*$', lower(c), fold_text(c)), '&', ' and '), r"['`‘’´]", ''), r'(?U)[\W_]+', ' '))"""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalise_text(c STRING) RETURNS STRING RETURN {words}")
+    fill = r"array_join(transform(regexp_extract_all(normalise_text(c), r'(\p{Nd}+|\P{Nd}+)', 1), x -> if(x rlike r'^\p{Nd}', lpad(x, greatest(8, length(x)), '0'), x)), '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sort_form(c STRING) RETURNS STRING RETURN {fill}")
