@@ -82,7 +82,7 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
         n = edges.count()
         if not n:
             break
-        g = max(2, math.ceil(math.sqrt(2 * n / cell_edges)), math.ceil(n / 3 / cell_hot_edges))
+        g = max(math.ceil((math.sqrt(8 * n / cell_edges + 1) - 1) / 2), math.ceil(n / 3 / cell_hot_edges))  # g (g + 1) / 2 cells
         block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(salt)), F.lit(g))
         cells = edges.withColumn("_a", block("src")).withColumn("_b", block("dst"))
         cells = cells.withColumn("row", F.least("_a", "_b")).withColumn("col", F.greatest("_a", "_b"))
@@ -90,6 +90,8 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
         met = local.groupBy("node").agg(F.min(F.struct("prio", "rep"))["rep"].alias("parent"), F.collect_set("rep").alias("reps"))
         met = cut(met)  # at most 2 g - 1 representatives a vertex
         steps.append(met.select("node", "parent"))
+        if g == 1:  # one cell has settled all there was
+            break
         edges = met.where(F.size("reps") > 1).select("parent", F.explode("reps").alias("rep")).where("parent <> rep")
         edges = cut(edges.select(F.least("parent", "rep").alias("src"), F.greatest("parent", "rep").alias("dst")).distinct())
     else:
