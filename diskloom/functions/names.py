@@ -54,7 +54,7 @@ def ascii_words(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """A stable identifier from a name: "D-Bug Menu" gives "d-bug-menu"."""
+    """A stable identifier from a name: "Q-Zap Menu" gives "q-zap-menu"."""
     return F.replace(ascii_words(c), F.lit(" "), F.lit("-"))
 
 
@@ -78,7 +78,7 @@ def tokens(c: Column) -> Column:
 
 
 def search_text(c: Column) -> Column:
-    """Normalised words, and the joined form of words with inner signs: "R-Type" is found as "r type" and "rtype"."""
+    """Normalised words, and the joined form of words with inner signs: "X-Ray" is found as "x ray" and "xray"."""
     joined = F.transform(F.regexp_extract_all(c, F.lit(r"((?U)\w+(?:[-.'/]\w+)+)"), F.lit(1)), lambda w: F.regexp_replace(w, "[-.'/]", ""))
     return F.trim(F.concat_ws(" ", normalise(c), normalise(F.array_join(joined, " "))))
 

@@ -62,7 +62,7 @@ class Expression:
 
 
 def split_word(word: str) -> list[str]:
-    """The parts of a word with a number in or beside it: "xenon2" gives xenon and 2; else the word itself."""
+    """The parts of a word with a number in or beside it: "zorbo2" gives zorbo and 2; else the word itself."""
 
 
     if m := re.fullmatch(r"([^\W\d_]+)(\d+)([^\W\d_]?)", word):

@@ -15,12 +15,12 @@ DISKS = [
     (3, "pom", 2, "B", "", "Pompadour Menus 2 B", "atari-st", "menu", "demos", "Pompadour", None, "", ""),
     (4, "lem", 2, "", "", "Lemmoids 2", "amiga", "menu", "games", "Lemmoids", 1991, "", ""),
     (5, "", None, "", "", "Xenor II", "amiga", "single", "games", "ace", 1988, "Acme", ""),
-    (6, "", None, "", "", "Chaos Machine, The", "amiga", "single", "games", "Éclair", 1992, "", ""),
+    (6, "", None, "", "", "Calm Machine, The", "amiga", "single", "games", "Éclair", 1992, "", ""),
     (7, "q", 320, "", "", "Q 320", "amiga", "menu", "games", "Q", 1992, "", ""),
 ]
 CONTENTS = [
     (11, 1, 1, "Xenor 2", "game", ""), (12, 1, 2, "R-Kind", "game", ""), (13, 2, 1, "Lemmoids 2", "game", ""), (14, 3, 1, "Zorb", "demo", "aka Globule"),
-    (15, 4, 1, "Xenor", "game", ""), (16, 7, 1, "Airship Q320", "game", ""), (17, 6, 1, "Chaos Machine, The", "game", ""),
+    (15, 4, 1, "Xenor", "game", ""), (16, 7, 1, "Airship Q320", "game", ""), (17, 6, 1, "Calm Machine, The", "game", ""),
 ]
 
 
@@ -51,7 +51,7 @@ def test_parse_query():
     assert (p.series_ids, p.number, p.part, p.version, p.words) == (("pom",), 51, "A", "v2", ("extra",))
     assert parse_query("pompadour menus side b", table).number is None
     assert parse_query("q12 part 2", table).part == "B"
-    assert parse_query("xenon2 v8", table).words == ("xenon2", "v8")
+    assert parse_query("zorbo2 v8", table).words == ("zorbo2", "v8")
 
 
 def test_words_prefixes_and_numerals(cat):
@@ -61,7 +61,7 @@ def test_words_prefixes_and_numerals(cat):
     assert set(titles(search(cat, Query("xenor 2")))) == both and set(titles(search(cat, Query("xenor2")))) == both
     assert titles(search(cat, Query("rkind"))) == ["R-Kind"]
     assert titles(search(cat, Query("globule"))) == ["Zorb"]
-    assert titles(search(cat, Query("the chaos machine"))) == ["The Chaos Machine"]
+    assert titles(search(cat, Query("the calm machine"))) == ["The Calm Machine"]
 
 
 def test_substring_only_after_nothing_was_found(cat):

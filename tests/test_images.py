@@ -100,6 +100,6 @@ def test_boot_classes(spark):
 
 
 def test_longest_prefix(spark):
-    rows = spark.createDataFrame([("Lamer Exterminator 2",), ("Lamers",), ("lamer",), (None,)], "n string")
-    kinds = spark.createDataFrame([("Lamer", "link"), ("Lamer Exterminator", "boot")], "prefix string, kind string")
-    assert {r.n: r.kind for r in B.longest_prefix(rows, "n", kinds).collect()} == {"Lamer Exterminator 2": "boot", "Lamers": None, "lamer": "link", None: None}
+    rows = spark.createDataFrame([("Gremlin Eater 2",), ("Gremlins",), ("gremlin",), (None,)], "n string")
+    kinds = spark.createDataFrame([("Gremlin", "link"), ("Gremlin Eater", "boot")], "prefix string, kind string")
+    assert {r.n: r.kind for r in B.longest_prefix(rows, "n", kinds).collect()} == {"Gremlin Eater 2": "boot", "Gremlins": None, "gremlin": "link", None: None}

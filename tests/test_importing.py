@@ -16,9 +16,9 @@ def ask(spark, f, *values):
 
 
 def test_titles_taken_apart(spark):
-    assert ask(spark, P.joined_titles, "A & Cyber II & Ark - Doh", "Copy & Utility Disk", "Repton 1 & 2 & Editor", "Mercenary 1 & 2 Collection", "X & 2 Others", "One", "Engine, The & Big & Y", None) == [["A", "Cyber II", "Ark - Doh"], [], ["Repton 1 & 2", "Editor"], [], [], [], ["The Engine", "Big", "Y"], None]
-    assert ask(spark, lambda c: P.listed_titles(c, ["menu", "compact"]), "A-Ha Menu - Elim - Neb", "TMF Compact - Quad & Carrier", "Mind Funk - The Party", "X Menu") == [["Elim", "Neb"], ["Quad", "Carrier"], [], []]
-    assert ask(spark, P.title_case, "RICK DANGEROUS II", "THE LORD OF THE F16", "H.A.T.E. V.2.31", "TMFTC'S PC", "Mixed CASE") == ["Rick Dangerous II", "The Lord of the F16", "H.A.T.E. v2.31", "TMFTC's PC", "Mixed CASE"]
+    assert ask(spark, P.joined_titles, "A & Cyber II & Ark - Doh", "Copy & Utility Disk", "Lizard 1 & 2 & Editor", "Wizard 1 & 2 Collection", "X & 2 Others", "One", "Engine, The & Big & Y", None) == [["A", "Cyber II", "Ark - Doh"], [], ["Lizard 1 & 2", "Editor"], [], [], [], ["The Engine", "Big", "Y"], None]
+    assert ask(spark, lambda c: P.listed_titles(c, ["menu", "compact"]), "B-Oh Menu - Elim - Neb", "QRS Compact - Quad & Carrier", "Brain Wave - The Party", "X Menu") == [["Elim", "Neb"], ["Quad", "Carrier"], [], []]
+    assert ask(spark, P.title_case, "BOLD ADVENTURE II", "THE LORD OF THE F16", "B.O.L.D. V.2.31", "QRSTC'S PC", "Mixed CASE") == ["Bold Adventure II", "The Lord of the F16", "B.O.L.D. v2.31", "QRSTC's PC", "Mixed CASE"]
     assert [tuple(r) for r in ask(spark, P.item_parts, "Zork (A) (needs 1MB)", "(some docs)", "Tool (utility)", "Game w/ docs", "Plain")] == [("Zork", "game", "disk a, needs 1MB"), ("some docs", "doc", ""), ("Tool", "utility", ""), ("Game", "game", "with docs"), ("Plain", "game", "")]
 
 
@@ -93,9 +93,9 @@ def test_names_of_discs(spark):
     assert [r[0] for r in df.select(A.disc_crew(*(F.col(c) for c in "gncps"))).collect()] == ["grp", "Ser", "cr", "pub", "Unknown crew", "Unknown crew"]
     lab = spark.createDataFrame([("{name} {number}{part_suffix}", "Menu", 5, "B", "", ""), ("", "", None, "B", "", "Zork"), ("", "", None, "", "", ""), ("", "", None, "B", "", "Zork B")], "t string, n string, k int, p string, v string, tidy string")
     assert [r[0] for r in lab.select(A.disc_label(*(F.col(c) for c in ("t", "n", "k", "p", "v", "tidy")))).collect()] == ["Menu 5 B", "Zork B", "Untitled disk", "Zork B"]
-    g = spark.createDataFrame([("SR", "amiga", "Skid Row"), ("SR", "", "Star Race"), ("TRSI", "", "Tristar")], "tag string, platform string, full string")
-    r = spark.createDataFrame([("SR - TRSI", "amiga"), ("SR", "st"), ("Other", "st")], "crew string, platform string")
-    assert {(x.crew, x.expanded) for x in A.expand_groups(F.col("crew"), g, r, "platform").collect()} == {("SR - TRSI", "Skid Row - Tristar"), ("SR", "Star Race"), ("Other", "Other")}
+    g = spark.createDataFrame([("SR", "amiga", "Big Fish"), ("SR", "", "Star Race"), ("TRIO", "", "Trio")], "tag string, platform string, full string")
+    r = spark.createDataFrame([("SR - TRIO", "amiga"), ("SR", "st"), ("Other", "st")], "crew string, platform string")
+    assert {(x.crew, x.expanded) for x in A.expand_groups(F.col("crew"), g, r, "platform").collect()} == {("SR - TRIO", "Big Fish - Trio"), ("SR", "Star Race"), ("Other", "Other")}
     local = spark.createDataFrame([(1, "/f", True, 0)], "disk_id int, path string, bad boolean, rank int")
     online = spark.createDataFrame([(1, "u2", False, 1, 9), (1, "u1", False, 1, 5)], "disk_id int, url string, bad boolean, rank int, priority int")
     assert [r.ref for r in A.ranked_sources(local, online).orderBy("place").collect()] == ["u1", "u2", "/f"]

@@ -98,22 +98,22 @@ def test_dump_names(spark):
     assert trailing_brackets("(only)") == ("(only)", []) and parse_dump_name("")["title"] == "" and parse_dump_name(None) is None
     two = parse_dump_name("A (1990)(X)[cr Y] & B (1991)(Z)[cr W].st")
     assert (two["title"], two["publisher"], two["cracker"], two["combined"], two["date"]) == ("A & B", "X - Z", "Y - W", True, "1990")
-    assert parse_dump_name("T (1990)(-)(Disk 2 of 3)[v Lamer][m Protector]")["virus"] == "Lamer"
+    assert parse_dump_name("T (1990)(-)(Disk 2 of 3)[v Gremlin][m Protector]")["virus"] == "Gremlin"
     df = spark.createDataFrame([("Engine, The (1990)(A)(Disk 1 of 2)[cr X][a].st",), (None,)], "n string")
     got = df.select(dump_name(F.col("n")).alias("p"), tidy_label(F.col("n")).alias("l")).collect()
     assert got[0].p.disk == 1 and got[0].l == "The Engine (Disk 1 of 2) [cr X]" and got[1].p.title is None
 
 
 def test_index_and_texts(spark, tmp_path):
-    (tmp_path / "i.txt").write_text("CRC\tSize\tFile name\n----\nABCDEF01\t12\tPacks/Skid_Row/SKID-Pack12[b].dms\nxx\t1\ty\n0a0b0c0d\t3\tPacks/x.txt\n")
+    (tmp_path / "i.txt").write_text("CRC\tSize\tFile name\n----\nABCDEF01\t12\tPacks/Big_Fish/BIG-Pack12[b].dms\nxx\t1\ty\n0a0b0c0d\t3\tPacks/x.txt\n")
     index = listings.file_index(spark, str(tmp_path / "i.txt"))
-    assert sorted(rows(index)) == [("0a0b0c0d", 3, "Packs/x.txt"), ("abcdef01", 12, "Packs/Skid_Row/SKID-Pack12[b].dms")]
-    assert rows(listings.pack_files(index, "Packs/", (".dms",)).select("folder", "stem", "suffix", "flags")) == [("Skid_Row", "SKID-Pack12", ".dms", "[b]")]
+    assert sorted(rows(index)) == [("0a0b0c0d", 3, "Packs/x.txt"), ("abcdef01", 12, "Packs/Big_Fish/BIG-Pack12[b].dms")]
+    assert rows(listings.pack_files(index, "Packs/", (".dms",)).select("folder", "stem", "suffix", "flags")) == [("Big_Fish", "BIG-Pack12", ".dms", "[b]")]
     one = lambda f, v: spark.createDataFrame([(v,)], "v " + ("binary" if isinstance(v, bytes) else "string")).select(f(F.col("v")).alias("x")).first().x
-    assert one(listings.split_words, "SkidRow130b_X") == "Skid Row 130 b X"
+    assert one(listings.split_words, "BigFish130b_X") == "Big Fish 130 b X"
     assert one(listings.clean_scroller, b"\r\n\x1b[31mH\xe9llo \r\n\x07 you\r\n\r\n") == "Héllo\n you"
     assert one(listings.plain_text, "[b]Hi[/b] **you** &amp; [url=x]me[/url]<br>[docs](http://x)") == "Hi you & me\ndocs"
-    assert one(listings.article_title, "https://en.wikipedia.org/wiki/Rick_%28x%29?y") == "Rick (x)"
+    assert one(listings.article_title, "https://en.wikipedia.org/wiki/Nick_%28x%29?y") == "Nick (x)"
 
 
 def test_html_tables(spark):
@@ -141,8 +141,8 @@ def test_text_lists(spark, tmp_path):
 
 
 def test_json_and_toml(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"results": {"bindings": [{"item": {"value": "Q1"}, "label": {"value": "Rick"}, "article": {"value": "u"}}, {"item": {"value": "Q2"}, "label": {"value": "Two"}, "article": {"value": "v"}}, {"item": {"value": "Q3"}, "label": {"value": "two"}, "article": {"value": "w"}}]}}')
-    assert rows(listings.unique_articles(listings.sparql_rows(spark, str(tmp_path / "a.json")))) == [("rick", "Q1", "u")]
+    (tmp_path / "a.json").write_text('{"results": {"bindings": [{"item": {"value": "Q1"}, "label": {"value": "Nick"}, "article": {"value": "u"}}, {"item": {"value": "Q2"}, "label": {"value": "Two"}, "article": {"value": "v"}}, {"item": {"value": "Q3"}, "label": {"value": "two"}, "article": {"value": "w"}}]}}')
+    assert rows(listings.unique_articles(listings.sparql_rows(spark, str(tmp_path / "a.json")))) == [("nick", "Q1", "u")]
     (tmp_path / "t.json").write_text('{"tree": [{"path": "d", "type": "tree", "sha": "0"}, {"path": "d/f", "type": "blob", "sha": "1"}]}')
     assert rows(listings.git_tree(spark, str(tmp_path / "t.json"))) == [("d/f", "1")]
     (tmp_path / "f.json").write_text('{"files": [{"name": "a.zip", "size": "7", "md5": "AB", "format": "ZIP"}]}')
