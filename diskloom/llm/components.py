@@ -74,9 +74,9 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
     checkpoints in the shared folder. Pairs with a NULL end are left out; a pair of a vertex with itself gives a group
     of one; repeated pairs and either order change nothing; no pairs give no rows.
     """
-    edges = pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    edges = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    given = pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    given = cut(given.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    loops, edges = given.where("src = dst").select(F.col("src").alias("node")), given.where("src <> dst")
     steps: list[DataFrame] = []
     for salt in range(max_rounds):
         n = edges.count()

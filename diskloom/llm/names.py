@@ -109,8 +109,8 @@ def _segment_probes(k: int):
             rows = []
             for node, s in zip(b["node"], b["text"]):
                 r = len(s)
-                for length in range(max(k + 1, r - k), r + 1):
-                    gap = r - length
+                for length in range(max(k + 1, r - k), r + k + 1):
+                    gap = r - length  # below 0 for longer strings
                     for i, (p, n) in enumerate(segments(length, k + 1)):
                         for at in range(max(0, p - (k - gap) // 2), min(r - n, p + (k + gap) // 2) + 1):
                             rows.append((f"{length}|{i}|{s[at : at + n]}", node, s))
@@ -124,7 +124,7 @@ def near_strings(index: DataFrame, probes: DataFrame, k: int = SEARCH_EDITS) ->
 
     Each string of ``index`` (``node, text``) is cut into k + 1 segments; within k edits one of them must survive, and
     it can have moved by no more than the edits allow. Each string of ``probes`` looks up its substrings of the right
-    length at those places. Only strings no longer than the probe are met: pass both orders of a pair.
+    length at those places, for strings of every length that ``k`` edits can reach.
     """
     left = index.mapInPandas(_segment_index(k), "key string, node string, text string")
     right = probes.mapInPandas(_segment_probes(k), "key string, other string, probe string")
@@ -155,7 +155,7 @@ def _whole_edges(nodes: DataFrame) -> DataFrame:
     index = nodes.where("node LIKE 'full:%'").select("node", F.regexp_replace(key, " ", "").alias("text"))
     turned = F.concat(F.substring_index(key, " ", -1), F.substring_index(key, " ", 1))
     probes = index.unionByName(nodes.where("node LIKE 'full:% %'").select("node", turned.alias("text")))
-    candidates = near_strings(index, probes).unionByName(near_strings(probes, index)).select("node", "other").distinct()
+    candidates = near_strings(index, probes).select("node", "other").distinct()
     return candidates.mapInPandas(_verify, "a string, b string")
 
 
@@ -259,7 +259,7 @@ def name_groups(values: DataFrame, rosters: DataFrame | None = None) -> DataFram
     fits = short.join(keys, "key")
     plain_fit = fits.where("key NOT LIKE 'cut:%'").select("node", "grp")
     cut_fit = fits.where("key LIKE 'cut:%'").join(full.select("grp", F.col("words").alias("full")), "grp").select("node", "key", "words", "grp", "full").mapInPandas(_starts, "node string, grp bigint")
-    lexical = plain_fit.unionByName(cut_fit).groupBy("node").agg(F.min("grp").alias("grp"), F.max("grp").alias("high")).where("grp = high").select("node", "grp")
+    lexical = cut(plain_fit.unionByName(cut_fit).groupBy("node").agg(F.min("grp").alias("grp"), F.max("grp").alias("high")).where("grp = high").select("node", "grp"))
     as_node = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
     edges = lexical.select(F.col("node").alias("a"), as_node("grp").alias("b")).unionByName(first.select(F.col("node").alias("a"), as_node("grp").alias("b")))
     if rosters is not None:
