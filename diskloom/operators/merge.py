@@ -33,8 +33,8 @@ def label_groups(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     to its smaller ones. Chains halve with each round. Hot nodes are joined as ``lookup_join`` does; rounds are cut by
     checkpoints.
     """
-    pairs = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    given = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs, alone = given.where("a < b"), given.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     known = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
