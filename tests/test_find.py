@@ -130,3 +130,21 @@ def test_snapshot_round_trip(cat, spark, tmp_path):
     assert titles(search(again, Query("xenor"))) == titles(search(cat, Query("xenor")))
     with pytest.raises(ValueError):
         open_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_rows_and_details(cat, spark):
+    from diskloom.plans import detail as D
+
+    rows = D.result_rows(cat, search(cat, Query("xenor", mode="discs")), spark.createDataFrame([(4,)], "disk_id long"), ["host"]).collect()
+    assert {r.disk_id: (r.label, r.availability, r.summary) for r in rows} == {4: ("Lemmoids 2", "local", "Xenor"), 1: ("Pompadour Menus 1", "online", "Xenor 2, R-Kind"), 5: ("Xenor II", "none", "")}
+    assert [r.disk_id for r in rows] == discs(search(cat, Query("xenor", mode="discs")))
+    one = D.details(cat, 1)
+    assert one["disc"].first().series_name == "Pompadour Menus" and [r.title for r in one["contents"].collect()] == ["Xenor 2", "R-Kind"] and one["images"].count() == 0
+    assert [tuple(r) for r in D.enabled_providers(cat.locations, {"host": "The Host"}, ["other"]).collect()] == [("host", "The Host")]
+    got = {r.key: r.n for r in D.statistics(cat, spark.range(3)).collect()}
+    assert got["discs"] == 7 and got["discs on amiga"] == 4 and got["titles"] == 7 and got["discs hosted"] == 2 and got["files"] == 3
+    crews = spark.createDataFrame([(1, "Gang", "n", "m")], "id long, name string, notes string, members string")
+    assert D.credited_crew(spark.createDataFrame([(5, 1, "Gang"), (6, 1, "Other")], "disk_id long, crew_id long, crew string"), crews).first().disk_id == 5
+    media = spark.createDataFrame([(2, 1, "u", "b"), (1, 5, "u", "a"), (3, 1, "v", "c")], "id long, disk_id long, url string, source string")
+    assert [tuple(r) for r in D.picture_addresses(media, cat.disks).collect()] == [("u", "a"), ("v", "c")] and D.picture_addresses(media, cat.disks, ["amiga"]).count() == 1
+    assert {(r.id, r.place) for r in D.titles_in_place(cat.contents).where("disk_id = 1").collect()} == {(11, 1), (12, 2)}
