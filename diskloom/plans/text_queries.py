@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diskloom.operators import textindex as X
-from diskloom.session import table
+from diskloom.session import cut, table
 
 Q = {}
 SQL = {}
@@ -27,7 +27,7 @@ def _plain(c: str):
 
 def _documents(spark: SparkSession, d: str) -> X.TextIndex:
     rows = table(spark, d, "documents").select("doc_id", _plain("text").alias("text"), _plain("site").alias("site"))
-    return X.text_index(rows, "doc_id", {"text": 1.0, "site": 5.0})
+    return X.text_index(rows, "doc_id", {"text": 1.0, "site": 5.0}, cut(X.build_postings(rows, "doc_id", ["text", "site"])))  # written once, scanned by each step of the ranking
 
 
 _POSTINGS = """
