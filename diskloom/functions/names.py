@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diskloom.functions.text import plain
+
 # Sequel numbers in Roman numerals that searches take for figures, and the reverse. Single letters are not numbers.
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "xi": "11", "xii": "12", "xiii": "13", "xiv": "14", "xv": "15", "xvi": "16"}
 # The narrower set, and the words left out, when titles are compared word by word.
@@ -35,11 +37,21 @@ def _to_ascii(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower(), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _plain(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else plain(t), na_action="ignore")
+
+
 def _only_other(c: Column) -> Column:
     """The text where it is not plain ASCII, else NULL, so that the UDF gets nothing to do for plain rows."""
     return F.when(~c.rlike(r"^\p{ASCII}*$"), c)
 
 
+def repaired(c: Column) -> Column:
+    """Text with damaged encodings, look-alike letters, marks and control characters resolved; printable ASCII stays as it is."""
+    return F.coalesce(_plain(F.when(~c.rlike("^[ -~]*$"), c)), c)
+
+
 def normalise(c: Column) -> Column:
     """Words for comparison: folded case, no marks, apostrophes dropped, "&" as "and", other signs and blanks as one space."""
     folded = F.coalesce(_fold(_only_other(c)), F.lower(c))
@@ -148,7 +160,7 @@ def base_name(c: Column) -> Column:
 def image_name_keys(c: Column) -> Column:
     """What image files are joined by: lower-case name without folders, with and without its extension."""
     base = F.lower(base_name(c))
-    stem = F.when(base.contains("."), F.regexp_extract(base, r"^(.*)\.[^.]*$", 1)).otherwise(base)
+    stem = F.when(base.contains("."), F.regexp_extract(base, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(base)
     return F.array_distinct(F.array(base, stem))
 
 

@@ -114,9 +114,20 @@ _CREW_KEY = "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lo
 def crews_of_records(spark: SparkSession, d: str) -> DataFrame:
     """The record of each source that describes the crew of each disc record."""
     plain = lambda c: F.col(c).rlike("^[ -~]*$")
-    crews = table(spark, d, "crew_records").where(plain("name")).select("crew_record_id", "name", "source", F.map_entries("platforms").alias("p")).distinct()
+    return _crews_of_records(spark, table(spark, d, "crew_records").where(plain("name")), table(spark, d, "disk_records").where(plain("cracker")))
+
+
+@query()
+def crews_of_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """``crews_of_records`` over all names, read without accents, damage and look-alike letters."""
+    crews = table(spark, d, "crew_records").withColumn("name", N.repaired(F.col("name")))
+    return _crews_of_records(spark, crews, table(spark, d, "disk_records").withColumn("cracker", N.repaired(F.col("cracker"))))
+
+
+def _crews_of_records(spark: SparkSession, crews: DataFrame, discs: DataFrame) -> DataFrame:
+    crews = crews.select("crew_record_id", "name", "source", F.map_entries("platforms").alias("p")).distinct()
     crews = crews.select("crew_record_id", "name", "source", F.explode("p").alias("p")).select("crew_record_id", "name", "source", F.col("p.key").alias("platform"), F.col("p.value").alias("releases"))
-    discs = table(spark, d, "disk_records").where(plain("cracker")).groupBy(F.col("record_id").alias("disk_id")).agg(F.min("cracker").alias("crew"), F.min("platform").alias("platform"))
+    discs = discs.groupBy(F.col("record_id").alias("disk_id")).agg(F.min("cracker").alias("crew"), F.min("platform").alias("platform"))
     empty = spark.createDataFrame([], "disk_id long, crew_record_id long")
     pins = spark.createDataFrame([], "key string, platform string, source string, crew_record_id long")
     return resolve_crews(discs, crews, empty, pins)

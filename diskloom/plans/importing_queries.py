@@ -72,6 +72,13 @@ def crews_pooled(spark: SparkSession, d: str) -> DataFrame:
     return A.crew_rows(rows, ["name"], ["crew_record_id"]).select("name", "founded", "notes", F.array_join("members", ", ").alias("members"))
 
 
+@query()
+def crews_pooled_all(spark: SparkSession, d: str) -> DataFrame:
+    """``crews_pooled`` over all names that are given, each as it is stored."""
+    rows = table(spark, d, "crew_records").where("name <> ''").select("crew_record_id", "name", "founded", "notes", "members").distinct()
+    return A.crew_rows(rows, ["name"], ["crew_record_id"]).select("name", "founded", "notes", F.array_join("members", ", ").alias("members"))
+
+
 @query("""
     SELECT id, CASE WHEN series_id <> '' THEN coalesce(nullif(s.group_name, ''), nullif(s.name, ''), 'Unknown crew') ELSE coalesce(nullif(d.publisher, ''), 'Unknown crew') END AS crew
     FROM (SELECT id, series_id, publisher FROM disks) d LEFT JOIN (SELECT id AS sid, group_name, name FROM series_defs) s ON s.sid = d.series_id""")
@@ -94,6 +101,14 @@ def titles_joined_by_and(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("content_id", parts.alias("t")).where(F.size("t") == 2).select("content_id", F.array_join("t", " | ").alias("titles"))
 
 
+@query()
+def titles_joined_by_and_all(spark: SparkSession, d: str) -> DataFrame:
+    """``titles_joined_by_and`` over all titles, of two or more; a title in which only damage hides the "&" is repaired first."""
+    title = F.when(F.col("title").contains(" & "), F.col("title")).otherwise(N.repaired(F.col("title")))
+    rows = table(spark, d, "content_records").where("title IS NOT NULL").select("content_id", title.alias("title")).where(F.col("title").contains(" & ")).groupBy("content_id").agg(F.min("title").alias("title"))
+    return rows.select("content_id", P.joined_titles(F.col("title")).alias("t")).where(F.size("t") >= 2).select("content_id", F.array_join("t", " | ").alias("titles"))
+
+
 @query("""
     SELECT disk_id, image_id, place FROM (
       SELECT disk_id, id AS image_id, row_number() OVER (PARTITION BY disk_id ORDER BY bad, rank_no, id) AS place FROM images WHERE disk_id IS NOT NULL AND bad IS NOT NULL AND rank_no IS NOT NULL AND removed_at IS NULL) WHERE place <= 3""")

@@ -184,6 +184,14 @@ def common_spellings(spark: SparkSession, d: str) -> DataFrame:
     return R.vote(rows, ["spelling"], "publisher")
 
 
+@query()
+def common_spellings_all(spark: SparkSession, d: str) -> DataFrame:
+    """``common_spellings`` over all names, accented, damaged and look-alike ones under the spelling that they stand for."""
+    folded = F.lower(N.repaired(F.col("publisher")))
+    rows = table(spark, d, "content_records").where("publisher IS NOT NULL").select(F.regexp_replace(folded, r"(?U)[\W_]+", "").alias("spelling"), "publisher").where("spelling <> ''")
+    return R.vote(rows, ["spelling"], "publisher")
+
+
 @query("""
     SELECT series_id, publisher, w, total FROM (
       SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY w DESC, publisher) AS k, sum(w) OVER (PARTITION BY series_id)::BIGINT AS total FROM (
@@ -259,6 +267,14 @@ def first_rule_of_titles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", "title", R.rule_join(rows, "title", rules).alias("rule")).distinct()
 
 
+@query()
+def first_rule_of_titles_all(spark: SparkSession, d: str) -> DataFrame:
+    """``first_rule_of_titles`` over all titles, read without accents, damage and look-alike letters; '' also for a NULL title."""
+    rows = table(spark, d, "disk_records").select("record_id", "title").distinct().withColumn("read", N.repaired(F.col("title")))
+    rules = [(p.replace("\\\\", "\\"), label) for p, label in _RULES]
+    return rows.select("record_id", "title", R.rule_join(rows, "read", rules).alias("rule"))
+
+
 @query("""
     SELECT DISTINCT a.alias_id, coalesce(s.id, '') AS series_id FROM series_alias a
     LEFT JOIN (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, platform, min(id) AS id FROM series_defs GROUP BY ALL) s
@@ -271,6 +287,14 @@ def lookup_series_names(spark: SparkSession, d: str) -> DataFrame:
     return R.name_lookup(rows, "alias", "platform", listed).select("alias_id", F.coalesce("series_id", F.lit("")).alias("series_id")).distinct()
 
 
+@query()
+def lookup_series_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """``lookup_series_names`` over all aliases, read without accents, damage and look-alike letters; '' also for a NULL alias."""
+    listed = table(spark, d, "series_defs").select(N.ascii_words(N.repaired(F.col("name"))).alias("key"), "platform", F.lit(0).alias("ord"), "id")
+    rows = table(spark, d, "series_alias").select("alias_id", "alias", "platform").distinct().withColumn("alias", N.repaired(F.col("alias")))
+    return R.name_lookup(rows, "alias", "platform", listed).select("alias_id", F.coalesce("series_id", F.lit("")).alias("series_id")).distinct()
+
+
 _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -296,6 +320,15 @@ def fuzzy_title_matches(spark: SparkSession, d: str) -> DataFrame:
     return R.fuzzy_titles(probes, titles, "g")
 
 
+@query()
+def fuzzy_title_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """``fuzzy_title_matches`` over all titles that are given, read without accents, damage and look-alike letters."""
+    given = table(spark, d, "content_records").where("title_id IS NOT NULL AND trim(title) <> ''")
+    probes = given.select(F.col("title_id").alias("g"), F.col("content_id").alias("probe_id"), "title").distinct().withColumn("title", N.repaired(F.col("title")))
+    titles = probes.groupBy("g").agg(F.min("probe_id").alias("title_id"), F.min(F.struct("probe_id", "title"))["title"].alias("title")).withColumn("ord", F.col("title_id"))
+    return R.fuzzy_titles(probes, titles, "g")
+
+
 @query("""
     WITH u AS (SELECT DISTINCT path AS address FROM library_files WHERE path IS NOT NULL),
     c AS (SELECT address, substr(address, 1, i) AS prefix FROM (SELECT address, unnest(range(1, length(address) + 1)) AS i FROM u) WHERE substr(address, i, 1) = '/'),
@@ -442,4 +475,12 @@ def image_file_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("image_record_id", keys[0].alias("base"), F.coalesce(F.get(keys, F.lit(1)), keys[0]).alias("stem")).distinct()
 
 
+@query()
+def image_file_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """``image_file_keys`` over all names that are given; file names are joined as they are stored, but for case."""
+    rows = table(spark, d, "image_records").where("name <> ''")
+    keys = N.image_name_keys(F.col("name"))
+    return rows.select("image_record_id", keys[0].alias("base"), F.coalesce(F.get(keys, F.lit(1)), keys[0]).alias("stem")).distinct()
+
+
 QUERIES = Q
