@@ -279,14 +279,14 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_
     and number in a series must agree; title, publisher, checksums and year are typed, partial and noisy.
 
     1. Titles: distinct titles are put right against the common title words, then meet in an inverted index over the
-       neighbourhood of their rare word. Only these selective terms generate candidates, as no title pair without one
-       can reach the score of a match: the common words' lists are never walked. Verified pairs form titles; so do
+       neighbourhood of their rare word. Only these selective terms generate candidates; the common words' lists are
+       never walked. Verified pairs form titles; so do
        titles of dumps with one telling checksum that differ somewhat more.
     2. Releases: the known publishers of a title, spellings merged, are its releases; each holds the attributes of its
        records.
-    3. Each record retrieves the releases of its title by a BM25 score over publisher, checksums and year (weights by
-       rarity, the term frequency saturated to one), a year two or more off counting against it. The nearest release
-       takes it if the confidence, a logistic function of the lead over the next release, reaches
+    3. Each record without a publisher is scored against every release of its title: shared checksums weigh by rarity, an
+       equal or near year adds a fixed value, a year two or more off counts against it. (Not BM25, and neither top-k nor
+       a bound: all releases of a title are scored.) The nearest release takes it if the confidence, a logistic function of the lead over the next release, reaches
        ``least_confidence``. A checksum in more than ``telling_checksum`` records has no weight.
     4. Records that no release takes are grouped among themselves by title with checksum or year.
 
