@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -136,9 +136,18 @@ class WordFixer:
                 self.near.setdefault(v, set()).add(w)
         self.known: dict[str, list[str]] = {}
 
+    def _ranked(self, word: str) -> list[tuple[int, str]]:
+        met = set().union(*(self.near.get(v, ()) for v in deletions(word, _reach(word))))
+        return sorted((d, w) for w in met if (d := edit_distance(word, w, _reach(w))) <= min(_reach(w), _reach(word)))
+
+    def fits(self, word: str) -> list[str]:
+        """All common words that a typed one may stand for by ``same_title``."""
+        if word.endswith("."):
+            return sorted(w for w in self.common if w.startswith(word[:-1]))
+        return [w for _, w in self._ranked(word)]
+
     def _nearest(self, word: str) -> str:
-        met = set().union(*(self.near.get(v, ()) for v in deletions(word, _reach(word)))) if len(word) < 14 else set()
-        ranked = sorted((d, w) for w in met if (d := edit_distance(word, w, _reach(w))) <= min(_reach(w), _reach(word)))
+        ranked = self._ranked(word)
         return ranked[0][1] if ranked and (len(ranked) == 1 or ranked[0][0] < ranked[1][0]) else ""
 
     def _fix(self, word: str) -> list[str]:
@@ -184,31 +193,48 @@ class WordFixer:
         return sorted(w for w in out if w[0] != "#"), number
 
 
+def title_terms(words: list[str], fixer: WordFixer) -> Iterator[tuple[str, bool, bool]]:
+    """Index terms of a title: ``(term, cut, prefix)``; any two titles that ``same_title`` accepts share one.
+
+    It pairs each word of one title with one of the other. Either two uncommon whole words are paired, and share what
+    is left of them after leaving out letters; or an abbreviation is paired with an uncommon word, and they share its
+    beginning next to the common words of the others; or each pair holds a common word, and both titles have one form
+    in common words alone. A word that may stand for several common words stands for each of them, and for itself.
+    """
+    usual = [w for w in words if w in fixer.common]
+    rare = [w for w in words if w not in fixer.common]
+    choices = [fixer.fits(w) for w in rare]
+    n = len(words)
+    for form in product(*choices):
+        yield f"{n}=" + " ".join(sorted([*usual, *form])), False, False
+    for i, r in enumerate(rare):
+        dotted, stem = r.endswith("."), r.rstrip(".")
+        if not dotted:
+            for v in deletions(stem, _reach(stem)):
+                yield f"{n}~{v}", False, False
+        for form in product(*(["", *c] for k, c in enumerate(choices) if k != i)):
+            same = " ".join(sorted([*usual, *filter(None, form)]))
+            for k in range(1, min(4, len(stem)) + 1):
+                yield f"{n}^{stem[:k]}|{same}", dotted and k == min(4, len(stem)), True
+
+
 def _title_keys(common: list[str]):
-    """Index terms of distinct titles: what is left of the uncommon word after leaving out letters, with all that must agree."""
+    """Index terms of distinct titles, with all that must agree."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(common)
+        fixer = WordFixer(common)
         for b in batches:
             rows = []
             for node, words, platform, part, number in zip(b["node"], b["words"], b["platform"], b["part"], b["number"]):
-                usual = [w for w in words if w in known]
-                rare = [w for w in words if w not in known]
                 base = f"{platform}|{part}|{number}|"
-                for r in rare or [""]:
-                    stem = r.rstrip(".")
-                    same = base + " ".join(usual) + "|"
-                    short = stem[:4]
-                    rows.append((node, f"{same}^{short}", r.endswith("."), True))
-                    if not r.endswith("."):
-                        rows += [(node, same + v, False, False) for v in deletions(stem, _reach(stem) if len(stem) < 14 else 1)]
+                rows += [(node, base + term, cut, prefix) for term, cut, prefix in title_terms(list(words), fixer)]
             yield pd.DataFrame(rows, columns=["node", "term", "cut", "prefix"]).drop_duplicates()
 
     return emit
 
 
-def same_title(a: list[str], b: list[str]) -> bool:
-    """Whether two titles' words are the same but for typing errors and abbreviations; each word counts once."""
+def same_title(a: list[str], b: list[str], known: frozenset[str] = frozenset()) -> bool:
+    """Whether two titles' words are the same but for typing errors and abbreviations; each word counts once. Two ``known`` words are no errors for each other."""
     rest = list(b)
     left = []
     for w in a:
@@ -220,6 +246,8 @@ def same_title(a: list[str], b: list[str]) -> bool:
     for w in left:
         fits = []
         for x in rest:
+            if w in known and x in known:
+                continue
             if (w.endswith(".") and x.startswith(w[:-1])) or (x.endswith(".") and w.startswith(x[:-1])):
                 fits.append((0, x))
             elif (d := edit_distance(w, x, 2)) <= min(_reach(w), _reach(x)):
@@ -247,10 +275,15 @@ def _verify_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["a", "b"]]
 
 
-def _verify_titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = [same_title(list(x), list(y)) for x, y in zip(b["words_a"], b["words_b"])]
-        yield b.loc[keep, ["a", "b"]]
+def _verify_titles(common: list[str]):
+    known = frozenset(common)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [same_title(list(x), list(y), known) for x, y in zip(b["words_a"], b["words_b"])]
+            yield b.loc[keep, ["a", "b"]]
+
+    return verify
 
 
 def _publisher_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,8 +312,8 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_
     and number in a series must agree; title, publisher, checksums and year are typed, partial and noisy.
 
     1. Titles: distinct titles are put right against the common title words, then meet in an inverted index over the
-       neighbourhood of their rare word. Only these selective terms generate candidates; the common words' lists are
-       never walked. Verified pairs form titles; so do
+       neighbourhood of their rare words and their forms in common words (``title_terms``). Every pair that
+       ``same_title`` accepts shares a term; the common words' lists are never walked. Verified pairs form titles; so do
        titles of dumps with one telling checksum that differ somewhat more.
     2. Releases: the known publishers of a title, spellings merged, are its releases; each holds the attributes of its
        records.
@@ -319,7 +352,7 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_
     met = pair(whole, whole).where("a < b").select("a", "b").unionByName(pair(short, short.where("cut")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     words = nodes.select("node", "words")
     near = met.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    edges = near.select("a", "b", "words_a", "words_b").mapInPandas(_verify_titles, "a string, b string")
+    edges = near.select("a", "b", "words_a", "words_b").mapInPandas(_verify_titles(common), "a string, b string")
     sums = rows.select("record_id", "node", "platform", "part", F.explode("checksums").alias("checksum")).distinct()
     weights = cut(sums.groupBy("checksum").agg(F.countDistinct("record_id").alias("df")).where(F.col("df") <= telling_checksum).select("checksum", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w")))
     shared = sums.join(weights, "checksum").select("node", "platform", "part", "checksum").distinct()

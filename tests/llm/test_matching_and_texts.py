@@ -39,6 +39,31 @@ def test_cross_source(spark):
     assert matches(spark, []) == set()
 
 
+def test_title_terms_find_all_pairs():
+    rnd = random.Random(5)
+    fixer = cross.WordFixer(["tunnel", "funnel", "valley", "volley", "quest", "magnificently", "magnet", "magic"])
+    known = frozenset(fixer.common)
+    pool = ["tunnel", "funnel", "runnel", "valley", "vlley", "quest", "flogucit", "flogukit", "floguc.", "mag.", "magnetik", "zorblaxigunavel", "zorblxigunavl", "magnificntlyx", "flo.", "vall.", "extraordinaryword", "extrordinarywrd"]
+    found = 0
+    for _ in range(4000):
+        a = sorted(set(rnd.choices(pool, k=rnd.randrange(1, 4))))
+        b = sorted(set(rnd.choices(pool, k=len(a))))
+        if not cross.same_title(a, b, known):
+            continue
+        x, y = ({t[:2] for t in cross.title_terms(w, fixer)} for w in (a, b))
+        whole = {t for t, c in x if "^" not in t} & {t for t, c in y if "^" not in t}
+        short = {t for t, c in x if c} & {t for t, _ in y} | {t for t, c in y if c} & {t for t, _ in x}
+        found += a != b
+        assert whole or short, (a, b)
+    assert found > 100
+
+
+def test_unsettled_words(spark):
+    common = [(100 + i, "z", "st", "", f"{w} {o}", "", "", []) for i, (w, o) in enumerate((w, o) for w in ("tunnel", "funnel") for o in ("Abrakos", "Brimuvel", "Cadrifan"))]
+    rows = [(1, "a", "st", "", "Flogucit tunnel", "1990", "Brazoplik", []), (2, "b", "st", "", "Flogucit runnel", "1990", "Brazoplik", []), (3, "c", "st", "", "Zorblaxigunavel tunnel", "1990", "", []), (4, "d", "st", "", "Zorblxigunavl runnel", "1990", "", [])]
+    assert matches(spark, rows + common) == {(1, 2), (3, 4)}
+
+
 ITEM = "According to Brenuvat the copper list repaired by Skolimap needed eleven revolutions since two testers refused the format while every courier from Lindhag kept jamming the third loading picture before the annual heat wave"
 OTHER = "Why was the sprite table of Domaxil swapped in one wet summer fair although nobody else asked for fewer colours and the typist needed a ladder to reach the second printed map of Ostermoor"
 
