@@ -17,6 +17,8 @@ from diskloom.session import cut
 
 #: A title word in one of so many records or more is common. At most WORDS x COMMON_SHARE words can be, so they may be broadcast.
 COMMON_SHARE = 1000
+#: A checksum tells if at most so many titles have it, however many records; or if one title has so much of its records.
+FEW_TITLES, ONE_TITLE = 3, 0.5
 #: Words whose correction a task remembers; beyond it the memory starts anew.
 MOST_KNOWN = 200_000
 # Words that tell nothing in a title, and in a publisher's name.
@@ -305,7 +307,7 @@ def _publisher_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["title", "publisher", "release"])
 
 
-def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_checksum: int = 12) -> DataFrame:
+def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataFrame:
     """The entity of each record of several sources: ``record_id, source, entity, confidence``.
 
     ``records``: ``record_id, source, platform, part, title, date_text, publisher, checksums`` (array). Platform, part
@@ -320,7 +322,8 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_
     3. Each record without a publisher is scored against every release of its title: shared checksums weigh by rarity, an
        equal or near year adds a fixed value, a year two or more off counts against it. (Not BM25, and neither top-k nor
        a bound: all releases of a title are scored.) The nearest release takes it if the confidence, a logistic function of the lead over the next release, reaches
-       ``least_confidence``. A checksum in more than ``telling_checksum`` records has no weight.
+       ``least_confidence``. A checksum weighs by how few titles have it, in however many records; one that
+       unrelated titles share (``FEW_TITLES``, ``ONE_TITLE``) tells nothing.
     4. Records that no release takes are grouped among themselves by title with checksum or year.
 
     NULL or empty attributes tell nothing. Records whose title has no telling word stay alone, as do records without
@@ -353,14 +356,21 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5, telling_
     words = nodes.select("node", "words")
     near = met.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     edges = near.select("a", "b", "words_a", "words_b").mapInPandas(_verify_titles(common), "a string, b string")
-    sums = rows.select("record_id", "node", "platform", "part", F.explode("checksums").alias("checksum")).distinct()
-    weights = cut(sums.groupBy("checksum").agg(F.countDistinct("record_id").alias("df")).where(F.col("df") <= telling_checksum).select("checksum", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w")))
-    shared = sums.join(weights, "checksum").select("node", "platform", "part", "checksum").distinct()
+    code = F.xxhash64
+    edges = cut(edges)
+    spelled = connected_groups(edges.select(code("a").alias("src"), code("b").alias("dst"))).select(F.col("node").alias("code"), "lo")
+    sums = rows.select("record_id", "node", "platform", "part", F.explode("checksums").alias("checksum")).distinct().withColumn("code", code("node"))
+    sums = cut(sums.join(spelled, "code", "left").withColumn("spelled", F.coalesce("lo", "code")).drop("code", "lo"))
+    holders = sums.groupBy("checksum", "spelled").agg(F.count(F.lit(1)).alias("n"))
+    holders = holders.groupBy("checksum").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"), F.max(F.struct("n", "spelled")).alias("most"))
+    telling = cut(holders.where((F.col("df") <= FEW_TITLES) | (F.col("most.n") >= ONE_TITLE * F.col("n"))).select("checksum", F.log(1 + F.lit(float(total)) / F.col("df")).alias("w"), F.col("most.spelled").alias("main")))
+    weights = telling.select("checksum", "w")
+    shared = sums.join(telling.select("checksum", "main"), "checksum").select("node", "platform", "part", "checksum", "spelled", "main").distinct()
+    other = shared.where("spelled <> main")  # the spellings of a title are one already, so only the others of each checksum look for theirs
     same = ["platform", "part", "checksum"]
-    met = shared.withColumnRenamed("node", "a").join(shared.withColumnRenamed("node", "b"), same).where("a < b").select("a", "b").distinct()
+    met = other.select(*same, F.col("node").alias("a"), F.col("spelled").alias("s")).join(shared.select(*same, F.col("node").alias("b"), F.col("spelled").alias("t")), same).where("s <> t").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = met.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     edges = edges.unionByName(near.select("a", "b", "words_a", "words_b").mapInPandas(_verify_alike, "a string, b string"))
-    code = F.xxhash64
     titles = connected_groups(edges.select(code("a").alias("src"), code("b").alias("dst"))).withColumnRenamed("node", "code")
     rows = rows.withColumn("code", code("node")).join(titles, "code", "left").select("record_id", "source", F.coalesce("lo", "code").alias("title"), "year", F.nullif("publisher", F.lit("")).alias("publisher"), "checksums")
     rows = cut(rows)

@@ -39,6 +39,16 @@ def test_cross_source(spark):
     assert matches(spark, []) == set()
 
 
+def test_checksums_tell_by_titles_not_records(spark):
+    hot = [(i, f"s{i}", "st", "", "Quest of Grunavel", "1990", None, ["aaaaaaa1"]) for i in range(1, 20)]  # more records than any fixed number
+    rows = [(20, "x", "st", "", "Quast of Gronafil", "1990", None, ["aaaaaaa1"])]  # alike by its checksum only
+    rows += [(21, "x", "st", "", "Quest of Grunavel", "1990", "Brazoplik", ["aaaaaaa1"]), (22, "y", "st", "", "Quest of Grunavel", "1990", "Wimpofax", ["bbbbbbb1"])]
+    assert matches(spark, hot + rows) == {(i, j) for i in range(1, 22) for j in range(i + 1, 22)} - {(20, 21)}
+    names = ["Vumbrelac", "Vamprelic", "Zorblaxig", "Krintofal", "Plodimert"]
+    junk = [(i, f"s{i}", "st", "", n, "", None, ["ccccccc1"]) for i, n in enumerate(names)]  # few records, but unrelated titles
+    assert matches(spark, junk) == set()
+
+
 def test_title_terms_find_all_pairs():
     rnd = random.Random(5)
     fixer = cross.WordFixer(["tunnel", "funnel", "valley", "volley", "quest", "magnificently", "magnet", "magic"])
