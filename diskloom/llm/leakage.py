@@ -16,10 +16,10 @@ from diskloom.functions.text import plain
 
 #: Characters of documents that one suffix array covers, and of evaluation texts that one pass carries to the tasks.
 SHARD_CHARS, BLOCK_CHARS = 8_000_000, 4_000_000
-#: Words of a verbatim match that makes a candidate, and of a passage that counts towards the share held.
+#: Words of a verbatim match that an index looks for if not told otherwise, and of a passage that counts towards the share held.
 SEED_WORDS, PASSAGE_WORDS = 5, 3
-#: Share of an item's words that seeds must cover before the passages are looked at, and that passages must cover.
-SEED_SHARE, LEAST_SHARE = 0.15, 0.5
+#: Share of an item's words that passages must cover.
+LEAST_SHARE = 0.5
 _WIDTH = 3  # bytes of a word's number, so that up to 16 million words differ
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t>]*(?=[^\W\d_])")
@@ -34,7 +34,7 @@ def leak_words(text: str) -> list[str]:
 class ItemIndex:
     """The words of evaluation items as numbers; all their suffixes are looked up in the suffix array of a shard."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], seed_words: int = SEED_WORDS):
         self.numbers: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
         for item, text in items:
@@ -43,7 +43,7 @@ class ItemIndex:
                 self.items[item] = words
         self.suffixes: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # by their first words: items share wording
         for item, words in self.items.items():
-            least = min(SEED_WORDS, len(words))
+            least = min(seed_words, len(words))
             for j in range(len(words) - least + 1):
                 self.suffixes[self._bytes(words[j : j + least])].append((item, j))
 
@@ -52,7 +52,7 @@ class ItemIndex:
         return b"".join(w.to_bytes(_WIDTH, "big") for w in words)
 
     def candidates(self, documents: list[tuple[int, list[int]]]) -> dict[tuple[int, int], set[int]]:
-        """Words of each item that lie in a verbatim match of SEED_WORDS or more with a document: {(document's place, item): places in the item}.
+        """Words of each item that lie in a verbatim match of ``seed_words`` or more with a document: {(document's place, item): places in the item}.
 
         The suffixes of the shard's documents that can begin a match are sorted (a suffix array over the words that
         occur in items, sparse as all others end every match); each distinct start of an item's suffix is found by
@@ -127,13 +127,13 @@ class ItemIndex:
 
 def _leaks(items: list[tuple[int, str]], least_share: float):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(items)
+        index = ItemIndex(items, PASSAGE_WORDS)
         numbers = index.numbers
 
         def found(shard: list[tuple[int, list[int]]]) -> pd.DataFrame:
             rows = []
             for (place, item), covered in index.candidates(shard).items():
-                if len(covered) >= SEED_SHARE * len(index.items[item]):
+                if len(covered) >= least_share * len(index.items[item]):  # passages lie in what is covered
                     share = index.share(item, shard[place][1])
                     if share >= least_share:
                         rows.append((shard[place][0], item, share))
@@ -173,8 +173,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, least_share: float =
 
     Documents are cut into shards of about SHARD_CHARS characters as they stream through a task; each shard gets a
     suffix array of its words, in which all suffixes of all items are looked up by binary search. Items whose words
-    are covered to SEED_SHARE by verbatim matches of SEED_WORDS are then held against the document exactly: passages
-    of PASSAGE_WORDS or more, chained in the item's order, must make up the share. Layout, markup, entities, damaged
+    are covered to the share by verbatim matches of PASSAGE_WORDS are then held against the document exactly: passages
+    of PASSAGE_WORDS or more, chained in the item's order, must make up the share. As these lie in such matches, none is missed. Layout, markup, entities, damaged
     encodings, letter forms, accents and case make no difference. The documents are read once for each block of
     BLOCK_CHARS of items and never shuffled; only found pairs are.
 

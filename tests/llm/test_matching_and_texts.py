@@ -98,6 +98,11 @@ def test_leaks(spark):
     assert {r.doc_id for r in leakage.without_leaks(d, found).collect()} == {5, 7, 9, 10, 13, None}
 
 
+def test_leaks_with_every_fifth_or_fourth_word_changed(spark):
+    docs = [(n, " ".join(x if i % n else f"changed{i}" for i, x in enumerate(ITEM.split()))) for n in (2, 3, 4, 5)]
+    assert leaks(spark, docs) == {(4, 1), (5, 1)}
+
+
 def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     docs = [(i, f"{i} {ITEM if i % 3 else OTHER} {i}") for i in range(12)]
     whole = leaks(spark, docs)
