@@ -14,12 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diskloom.functions.names import COMBINED
+
 # File types of dumps, and words for a protector against viruses.
 EXTENSIONS = frozenset("7z adf adz dim dms gz hfe img ipf lha lzx msa raw scp st stx zip".split())
 _GUARDS = ("antivirus", "anti-virus", "protector", "virus free")
 _PAIRS = {")": "(", "]": "["}
 _DATE = re.compile(r"[12][0-9x]{3}(?:-[0-9x]{2}){0,2}$", re.I)
-_COMBINED = re.compile(r"(?<=[)\]])\s+&\s+(?=[^()\[\]]+?\s\([12][0-9x]{3}[-0-9x]*\))")
+_COMBINED = re.compile(COMBINED)
 _TEXT, _LIST = T.StringType(), T.ArrayType(T.StringType())
 SCHEMA = T.StructType(
     [T.StructField(n, _TEXT) for n in ("title", "version", "date", "publisher", "cracker", "trainer", "trainer_group", "trainer_count", "modified_by", "extension", "virus", "antivirus", "media", "part")]

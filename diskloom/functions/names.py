@@ -223,14 +223,19 @@ def distinct_words(c: Column) -> Column:
     return F.array_join(F.array_distinct(words_of(F.regexp_replace(F.trim(c), r"\s+", " "))), " ")
 
 
-def file_name_words(names: Column, most: int = 40) -> Column:
-    """Search words of up to ``most`` file names, with their extensions."""
-    return F.array_join(F.array_distinct(F.flatten(F.transform(F.slice(names, 1, most), lambda n: words_of(F.lower(F.regexp_replace(n, r"[\W_]+", " ")))))), " ")
+def file_name_words(names: Column) -> Column:
+    """Search words of file names, with their extensions."""
+    return F.array_join(F.array_distinct(F.flatten(F.transform(names, lambda n: words_of(F.lower(F.regexp_replace(n, r"[\W_]+", " ")))))), " ")
+
+
+# Where a combined entry falls into titles (an "&" behind brackets, before a title with its date), and partial dates.
+COMBINED = r"(?<=[)\]])\s+&\s+(?=[^()\[\]]+?\s\([12][0-9x]{3}[-0-9x]*\))"
+PARTIAL_DATE = r"^\s*(\d{4})(?:-(\d{1,2}|[xX?]{2})(?:-(\d{1,2}|[xX?]{2}))?)?(?!\d)"
 
 
 def split_combined(c: Column) -> Column:
     """The titles of a combined entry "A (1990)(X) & B (1991)(Z)"; a plain name as a single one."""
-    parts = F.split(F.trim(c), r"(?<=[)\]])\s+&\s+(?=[^()\[\]]+?\s\([12][0-9x]{3}[-0-9x]*\))")
+    parts = F.split(F.trim(c), COMBINED)
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
@@ -251,8 +256,7 @@ def image_rank_key(flags: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """``struct(year, month, day)`` of a partial date "1990", "1990-06" or "1990-06-xx"; parts out of range are NULL, a day needs its month."""
-    part = lambda i: F.regexp_extract(c, pattern, i).try_cast("int")
-    pattern = r"^\s*(\d{4})(?:-(\d{1,2}|[xX?]{2})(?:-(\d{1,2}|[xX?]{2}))?)?(?!\d)"
+    part = lambda i: F.regexp_extract(c, PARTIAL_DATE, i).try_cast("int")
     ranged = lambda n, low, high: F.when((n >= low) & (n <= high), n)
     year, month, day = ranged(part(1), 1950, 2100), ranged(part(2), 1, 12), ranged(part(3), 1, 31)
     month = F.when(year.isNotNull(), month)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from diskloom.functions import names as N
 from diskloom.operators.merge import merge_records, place_locations, resolve_crews
 from diskloom.plans.catalogue import Catalogue, build_catalogue, number_discs
+from diskloom.plans import sqltext as T
 from diskloom.plans.find import Query, facets, search
 from diskloom.session import cut, table
 
@@ -101,33 +102,18 @@ def place_files_on_dumps(spark: SparkSession, d: str) -> DataFrame:
     return place_locations(files, images)
 
 
-_CREW_KEY = "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''’]', '', 'g'), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
-
-
 @query(f"""
-    WITH c AS (SELECT crew_record_id, {_CREW_KEY.format('name')} AS key, source, p.platform, p.releases FROM (SELECT DISTINCT crew_record_id, name, source, platforms FROM crew_records WHERE regexp_full_match(name, '[ -~]*')) x,
+    WITH c AS (SELECT crew_record_id, {T.crew_key('name')} AS key, source, p.platform, p.releases FROM (SELECT DISTINCT crew_record_id, name, source, platforms FROM crew_records) x,
       LATERAL (SELECT unnest(map_keys(x.platforms)) AS platform, unnest(map_values(x.platforms)) AS releases) p),
-    d AS (SELECT record_id AS disk_id, {_CREW_KEY.format('cracker')} AS key, platform FROM (SELECT record_id, min(cracker) AS cracker, min(platform) AS platform FROM disk_records WHERE regexp_full_match(cracker, '[ -~]*') GROUP BY record_id)),
+    d AS (SELECT record_id AS disk_id, {T.crew_key('cracker')} AS key, platform FROM (SELECT record_id, min(cracker) AS cracker, min(platform) AS platform FROM disk_records GROUP BY record_id)),
     f AS (SELECT disk_id, source, crew_record_id, releases FROM d JOIN c USING (key, platform) WHERE key <> ''),
     g AS (SELECT disk_id, source, count(*) AS n, min(crew_record_id) AS one, arg_min(crew_record_id, (-releases, crew_record_id)) AS top, max(releases) AS most, sum(releases) AS total FROM f GROUP BY ALL)
     SELECT disk_id, source, CASE WHEN n = 1 THEN one ELSE top END AS crew_record_id, CASE WHEN n = 1 THEN 'only' ELSE 'dominant' END AS way FROM g WHERE n = 1 OR (most >= 10 AND most >= 0.9 * total)""")
 def crews_of_records(spark: SparkSession, d: str) -> DataFrame:
     """The record of each source that describes the crew of each disc record."""
-    plain = lambda c: F.col(c).rlike("^[ -~]*$")
-    return _crews_of_records(spark, table(spark, d, "crew_records").where(plain("name")), table(spark, d, "disk_records").where(plain("cracker")))
-
-
-@query()
-def crews_of_records_all(spark: SparkSession, d: str) -> DataFrame:
-    """``crews_of_records`` over all names, read without accents, damage and look-alike letters."""
-    crews = table(spark, d, "crew_records").withColumn("name", N.repaired(F.col("name")))
-    return _crews_of_records(spark, crews, table(spark, d, "disk_records").withColumn("cracker", N.repaired(F.col("cracker"))))
-
-
-def _crews_of_records(spark: SparkSession, crews: DataFrame, discs: DataFrame) -> DataFrame:
-    crews = crews.select("crew_record_id", "name", "source", F.map_entries("platforms").alias("p")).distinct()
+    crews = table(spark, d, "crew_records").select("crew_record_id", "name", "source", F.map_entries("platforms").alias("p")).distinct()
     crews = crews.select("crew_record_id", "name", "source", F.explode("p").alias("p")).select("crew_record_id", "name", "source", F.col("p.key").alias("platform"), F.col("p.value").alias("releases"))
-    discs = discs.groupBy(F.col("record_id").alias("disk_id")).agg(F.min("cracker").alias("crew"), F.min("platform").alias("platform"))
+    discs = table(spark, d, "disk_records").groupBy(F.col("record_id").alias("disk_id")).agg(F.min("cracker").alias("crew"), F.min("platform").alias("platform"))
     empty = spark.createDataFrame([], "disk_id long, crew_record_id long")
     pins = spark.createDataFrame([], "key string, platform string, source string, crew_record_id long")
     return resolve_crews(discs, crews, empty, pins)

@@ -9,6 +9,7 @@ from diskloom.functions import names as N
 from diskloom.operators import assembly as A
 from diskloom.operators import importing as P
 from diskloom.operators.relational import ranked_in
+from diskloom.plans import sqltext as T
 from diskloom.session import table
 
 Q = {}
@@ -60,7 +61,7 @@ def dumps_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT DISTINCT * FROM crew_records WHERE regexp_full_match(name, '[ -~]+')),
+    WITH r AS (SELECT DISTINCT * FROM crew_records WHERE name <> ''),
     m AS (SELECT name, trim(m) AS m, min((crew_record_id, i)) AS first_at FROM (SELECT name, crew_record_id, unnest(members) AS m, generate_subscripts(members, 1) AS i FROM r) WHERE trim(m) <> '' GROUP BY ALL),
     l AS (SELECT name, string_agg(m, ', ' ORDER BY first_at) AS members FROM m GROUP BY name),
     n AS (SELECT name, string_agg(n, chr(10) || chr(10) ORDER BY first_at) AS notes FROM (SELECT name, trim(notes) AS n, min(crew_record_id) AS first_at FROM r WHERE trim(notes) <> '' GROUP BY ALL) GROUP BY name)
@@ -68,13 +69,6 @@ def dumps_filled(spark: SparkSession, d: str) -> DataFrame:
     FROM r LEFT JOIN l USING (name) LEFT JOIN n USING (name) GROUP BY r.name""")
 def crews_pooled(spark: SparkSession, d: str) -> DataFrame:
     """The records of each crew name as one: members pooled, notes joined, the first founding date."""
-    rows = table(spark, d, "crew_records").where(F.col("name").rlike("^[ -~]+$")).select("crew_record_id", "name", "founded", "notes", "members").distinct()
-    return A.crew_rows(rows, ["name"], ["crew_record_id"]).select("name", "founded", "notes", F.array_join("members", ", ").alias("members"))
-
-
-@query()
-def crews_pooled_all(spark: SparkSession, d: str) -> DataFrame:
-    """``crews_pooled`` over all names that are given, each as it is stored."""
     rows = table(spark, d, "crew_records").where("name <> ''").select("crew_record_id", "name", "founded", "notes", "members").distinct()
     return A.crew_rows(rows, ["name"], ["crew_record_id"]).select("name", "founded", "notes", F.array_join("members", ", ").alias("members"))
 
@@ -89,23 +83,17 @@ def crews_of_discs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", A.disc_crew(F.col("group_name"), F.col("name"), F.lit(""), F.col("publisher"), F.coalesce(F.col("series_id") != "", F.lit(False))).alias("crew"))
 
 
-@query("""
-    SELECT DISTINCT c.content_id, string_agg(t, ' | ' ORDER BY i) AS titles FROM (
-      SELECT content_id, trim(t) AS t, i FROM (SELECT content_id, unnest(string_split(title, ' & ')) AS t, generate_subscripts(string_split(title, ' & '), 1) AS i
-        FROM (SELECT content_id, min(title) AS title FROM content_records WHERE regexp_full_match(title, '[A-Za-z :]+ & [A-Za-z :]+') GROUP BY content_id)) WHERE trim(t) <> '') c
-    GROUP BY c.content_id HAVING count(*) = 2""")
-def titles_joined_by_and(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that "&" joins, taken apart."""
-    rows = table(spark, d, "content_records").where(F.col("title").rlike("^[A-Za-z :]+ & [A-Za-z :]+$")).groupBy("content_id").agg(F.min("title").alias("title"))
-    parts = P.joined_titles(F.col("title"))
-    return rows.select("content_id", parts.alias("t")).where(F.size("t") == 2).select("content_id", F.array_join("t", " | ").alias("titles"))
+_GENERAL = "(utility|utilities|utils|tool|tools|disk|disc|system|systemdisk|games|programs|demos|board"
 
 
-@query()
-def titles_joined_by_and_all(spark: SparkSession, d: str) -> DataFrame:
-    """``titles_joined_by_and`` over all titles, of two or more; a title in which only damage hides the "&" is repaired first."""
-    title = F.when(F.col("title").contains(" & "), F.col("title")).otherwise(N.repaired(F.col("title")))
-    rows = table(spark, d, "content_records").where("title IS NOT NULL").select("content_id", title.alias("title")).where(F.col("title").contains(" & ")).groupBy("content_id").agg(F.min("title").alias("title"))
+@query(f"""
+    WITH c AS (SELECT content_id, list_filter(list_transform(string_split(min(title), ' & '), lambda p: trim(p)), lambda p: p <> '') AS ps FROM content_records WHERE contains(title, ' & ') GROUP BY content_id),
+    g AS (SELECT content_id, list_filter(string_split(regexp_replace(list_aggregate(ps, 'string_agg', chr(31)), '(\\d){chr(31)}(\\d)', '\\1 & \\2', 'g'), chr(31)), lambda p: NOT regexp_full_match({T.ascii_words('p')}, '\\d+( {_GENERAL}|other|others))+')) AS ts FROM c),
+    t AS (SELECT content_id, ts FROM g WHERE len(ts) >= 2 AND NOT (len(ts) = 2 AND len(list_filter(ts, lambda p: regexp_matches({T.ascii_words('p')}, '(^| ){_GENERAL})( |$)'))) > 0))
+    SELECT content_id, list_aggregate(list_transform(ts, lambda p: {T.display_title('p')}), 'string_agg', ' | ') AS titles FROM t""")
+def titles_joined_by_and(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that "&" joins, taken apart."""
+    rows = table(spark, d, "content_records").where(F.col("title").contains(" & ")).groupBy("content_id").agg(F.min("title").alias("title"))
     return rows.select("content_id", P.joined_titles(F.col("title")).alias("t")).where(F.size("t") >= 2).select("content_id", F.array_join("t", " | ").alias("titles"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diskloom.functions import names as N
 from diskloom.operators import relational as R
+from diskloom.plans import sqltext as T
 from diskloom.session import table
 
 Q = {}
@@ -173,22 +174,13 @@ def best_source_titles(spark: SparkSession, d: str) -> DataFrame:
     return R.best_source_rows(rows, ["series_key", "number"], "pr", ["_low"], ["record_id"]).select("series_key", "number", "source", "record_id", "title")
 
 
-@query("""
+@query(f"""
     SELECT spelling, publisher, n FROM (
       SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY n DESC, publisher) AS k FROM (
-        SELECT regexp_replace(lower(publisher), '[^a-z0-9]', '', 'g') AS spelling, publisher, count(*) AS n FROM content_records
-        WHERE regexp_full_match(publisher, '[ -~]+') GROUP BY ALL) WHERE spelling <> '') WHERE k = 1""")
+        SELECT replace({T.normalise('publisher')}, ' ', '') AS spelling, publisher, count(*) AS n FROM content_records GROUP BY ALL) WHERE spelling <> '') WHERE k = 1""")
 def common_spellings(spark: SparkSession, d: str) -> DataFrame:
-    """The most common way in which each publisher's name is written."""
-    rows = table(spark, d, "content_records").where(F.col("publisher").rlike("^[ -~]+$")).select(F.regexp_replace(F.lower("publisher"), "[^a-z0-9]", "").alias("spelling"), "publisher").where("spelling <> ''")
-    return R.vote(rows, ["spelling"], "publisher")
-
-
-@query()
-def common_spellings_all(spark: SparkSession, d: str) -> DataFrame:
-    """``common_spellings`` over all names, accented, damaged and look-alike ones under the spelling that they stand for."""
-    folded = F.lower(N.repaired(F.col("publisher")))
-    rows = table(spark, d, "content_records").where("publisher IS NOT NULL").select(F.regexp_replace(folded, r"(?U)[\W_]+", "").alias("spelling"), "publisher").where("spelling <> ''")
+    """The most common way in which each publisher's name is written; case, accents, signs and blanks make no difference."""
+    rows = table(spark, d, "content_records").select(F.replace(N.normalise(F.col("publisher")), F.lit(" "), F.lit("")).alias("spelling"), "publisher").where("spelling <> ''")
     return R.vote(rows, ["spelling"], "publisher")
 
 
@@ -258,73 +250,39 @@ _RULES = (("^the .* of ", "quest"), ("(racer|rally|circuit)", "racing"), ("(puzz
 
 @query("""
     SELECT DISTINCT record_id, title, CASE WHEN regexp_matches(title, '^the .* of ', 'i') THEN 'quest' WHEN regexp_matches(title, '(racer|rally|circuit)', 'i') THEN 'racing'
-           WHEN regexp_matches(title, '(puzzle|pinball)', 'i') THEN 'puzzle' WHEN regexp_matches(title, '\\b(ii|iii|iv|v)$', 'i') THEN 'sequel' ELSE '' END AS rule
-    FROM disk_records WHERE regexp_full_match(title, '[ -~]*')""")
+           WHEN regexp_matches(title, '(puzzle|pinball)', 'i') THEN 'puzzle' WHEN regexp_matches(title, '(^|[^\\pL\\pN_])(ii|iii|iv|v)$', 'i') THEN 'sequel' ELSE '' END AS rule
+    FROM disk_records""")
 def first_rule_of_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The first of several ordered rules that each title fits."""
-    rows = table(spark, d, "disk_records").where(F.col("title").rlike("^[ -~]*$"))
+    """The first of several ordered rules that each title fits; '' for none, also of a NULL title."""
+    rows = table(spark, d, "disk_records")
     rules = [(p.replace("\\\\", "\\"), label) for p, label in _RULES]
     return rows.select("record_id", "title", R.rule_join(rows, "title", rules).alias("rule")).distinct()
 
 
-@query()
-def first_rule_of_titles_all(spark: SparkSession, d: str) -> DataFrame:
-    """``first_rule_of_titles`` over all titles, read without accents, damage and look-alike letters; '' also for a NULL title."""
-    rows = table(spark, d, "disk_records").select("record_id", "title").distinct().withColumn("read", N.repaired(F.col("title")))
-    rules = [(p.replace("\\\\", "\\"), label) for p, label in _RULES]
-    return rows.select("record_id", "title", R.rule_join(rows, "read", rules).alias("rule"))
-
-
-@query("""
+@query(f"""
     SELECT DISTINCT a.alias_id, coalesce(s.id, '') AS series_id FROM series_alias a
-    LEFT JOIN (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, platform, min(id) AS id FROM series_defs GROUP BY ALL) s
-    ON s.key = trim(regexp_replace(lower(a.alias), '[^a-z0-9]+', ' ', 'g')) AND s.platform = a.platform
-    WHERE regexp_full_match(a.alias, '[ -~]*')""")
+    LEFT JOIN (SELECT {T.ascii_words('name')} AS key, platform, min(id) AS id FROM series_defs GROUP BY ALL) s ON s.key = {T.ascii_words('a.alias')} AND s.platform = a.platform""")
 def lookup_series_names(spark: SparkSession, d: str) -> DataFrame:
-    """Typed series names found by their comparison form on their platform."""
+    """Typed series names found by their comparison form on their platform; '' for none, also of a NULL alias."""
     listed = table(spark, d, "series_defs").select(N.ascii_words(F.col("name")).alias("key"), "platform", F.lit(0).alias("ord"), "id")
-    rows = table(spark, d, "series_alias").where(F.col("alias").rlike("^[ -~]*$"))
-    return R.name_lookup(rows, "alias", "platform", listed).select("alias_id", F.coalesce("series_id", F.lit("")).alias("series_id")).distinct()
-
-
-@query()
-def lookup_series_names_all(spark: SparkSession, d: str) -> DataFrame:
-    """``lookup_series_names`` over all aliases, read without accents, damage and look-alike letters; '' also for a NULL alias."""
-    listed = table(spark, d, "series_defs").select(N.ascii_words(N.repaired(F.col("name"))).alias("key"), "platform", F.lit(0).alias("ord"), "id")
-    rows = table(spark, d, "series_alias").select("alias_id", "alias", "platform").distinct().withColumn("alias", N.repaired(F.col("alias")))
-    return R.name_lookup(rows, "alias", "platform", listed).select("alias_id", F.coalesce("series_id", F.lit("")).alias("series_id")).distinct()
-
-
-_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    return R.name_lookup(table(spark, d, "series_alias"), "alias", "platform", listed).select("alias_id", F.coalesce("series_id", F.lit("")).alias("series_id")).distinct()
 
 
 @query(f"""
-    WITH p AS (SELECT DISTINCT title_id AS g, content_id AS probe_id, title FROM content_records WHERE title_id IS NOT NULL AND regexp_full_match(title, '[A-Za-z0-9 :]+')),
-    t AS (SELECT g, min(probe_id) AS title_id, arg_min(title, probe_id) AS title FROM p GROUP BY g),
-    pw AS (SELECT g, probe_id, {_KEY.format('title')} AS k FROM p), tw AS (SELECT g, title_id, {_KEY.format('title')} AS k FROM t),
-    e AS (SELECT probe_id, min(title_id) AS title_id FROM pw JOIN tw USING (g, k) GROUP BY probe_id),
-    ws AS (SELECT g, id, CASE WHEN len(tel) > 0 THEN tel ELSE a END AS w, side FROM (
-        SELECT *, list_filter(a, lambda x: x NOT IN ('the', 'a', 'an', 'and', 'of')) AS tel FROM (
-        SELECT g, id, side, list_distinct(list_transform(string_split(k, ' '), lambda x: CASE x WHEN 'ii' THEN '2' WHEN 'iii' THEN '3' WHEN 'iv' THEN '4' WHEN 'vi' THEN '6' WHEN 'vii' THEN '7' WHEN 'viii' THEN '8' WHEN 'ix' THEN '9' ELSE x END)) AS a
-        FROM (SELECT g, probe_id AS id, 'p' AS side, k FROM pw UNION ALL SELECT g, title_id, 't', k FROM tw)))),
-    s AS (SELECT p.id AS probe_id, t.id AS title_id, len(list_intersect(p.w, t.w)) AS c, len(p.w) AS n, len(t.w) AS m
-          FROM ws p JOIN ws t ON p.g = t.g AND p.side = 'p' AND t.side = 't' WHERE p.id NOT IN (SELECT probe_id FROM e)),
+    WITH p AS (SELECT DISTINCT title_id AS g, content_id AS probe_id, title FROM content_records WHERE title_id IS NOT NULL AND trim(title) <> ''),
+    t AS (SELECT g, min(probe_id) AS title_id, arg_min(title, (probe_id, title)) AS title FROM p GROUP BY g),
+    k AS (SELECT *, 1 AS way, {T.title_key('title')} AS k1, {T.normalise(f"({T.display_title('title')})")} AS k2, {T.normalise('title')} AS k3, {T.title_words('title')} AS w FROM (
+      SELECT g, probe_id AS id, 'p' AS side, title FROM p UNION ALL SELECT g, title_id, 't', title FROM t)),
+    l AS (SELECT DISTINCT g, id, side, unnest([k1, k2, k3]) AS k FROM k),
+    e AS (SELECT a.id AS probe_id, min(b.id) AS title_id FROM l a JOIN l b ON a.g = b.g AND a.k = b.k AND a.side = 'p' AND b.side = 't' WHERE a.k <> '' GROUP BY a.id),
+    s AS (SELECT a.id AS probe_id, b.id AS title_id, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS n, len(b.w) AS m
+          FROM k a JOIN k b ON a.g = b.g AND a.side = 'p' AND b.side = 't' WHERE a.id NOT IN (SELECT probe_id FROM e)),
     b AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY c / least(n, m) DESC, c / (n + m - c) DESC, title_id) AS r FROM s WHERE c > 0)
     SELECT probe_id, title_id, 'exact' AS how FROM e
     UNION ALL SELECT probe_id, title_id, 'words' FROM b WHERE r = 1 AND c / least(n, m) >= 0.75 AND c / (n + m - c) >= 0.4""")
 def fuzzy_title_matches(spark: SparkSession, d: str) -> DataFrame:
     """The sources' spellings of each title that stand for its first spelling."""
-    plain = F.col("title").rlike("^[A-Za-z0-9 :]+$") & F.col("title_id").isNotNull()
-    probes = table(spark, d, "content_records").where(plain).select(F.col("title_id").alias("g"), F.col("content_id").alias("probe_id"), "title").distinct()
-    titles = probes.groupBy("g").agg(F.min("probe_id").alias("title_id"), F.min_by("title", "probe_id").alias("title")).withColumn("ord", F.col("title_id"))
-    return R.fuzzy_titles(probes, titles, "g")
-
-
-@query()
-def fuzzy_title_matches_all(spark: SparkSession, d: str) -> DataFrame:
-    """``fuzzy_title_matches`` over all titles that are given, read without accents, damage and look-alike letters."""
-    given = table(spark, d, "content_records").where("title_id IS NOT NULL AND trim(title) <> ''")
-    probes = given.select(F.col("title_id").alias("g"), F.col("content_id").alias("probe_id"), "title").distinct().withColumn("title", N.repaired(F.col("title")))
+    probes = table(spark, d, "content_records").where("title_id IS NOT NULL AND trim(title) <> ''").select(F.col("title_id").alias("g"), F.col("content_id").alias("probe_id"), "title").distinct()
     titles = probes.groupBy("g").agg(F.min("probe_id").alias("title_id"), F.min(F.struct("probe_id", "title"))["title"].alias("title")).withColumn("ord", F.col("title_id"))
     return R.fuzzy_titles(probes, titles, "g")
 
@@ -399,14 +357,10 @@ def page_by_name_without_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "disks").select("id", "publisher").orderBy(nocase(F.col("publisher")), "publisher", "id").limit(100)
 
 
-@query("""
-    SELECT id, title, string_agg(CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, greatest(8, length(x))::INTEGER, '0') ELSE x END, '' ORDER BY i) AS key FROM (
-      SELECT id, title, unnest(regexp_extract_all(k, '([0-9]+|[^0-9]+)')) AS x, generate_subscripts(regexp_extract_all(k, '([0-9]+|[^0-9]+)'), 1) AS i
-      FROM (SELECT id, title, trim(regexp_replace(regexp_replace(lower(title), '[''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM disks WHERE regexp_full_match(title, '[A-Za-z0-9 :''.-]+')))
-    GROUP BY id, title""")
+@query(f"SELECT id, title, {T.sort_key('title')} AS key FROM disks")
 def natural_sort_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The key by which titles sort as people count."""
-    return table(spark, d, "disks").where(F.col("title").rlike("^[A-Za-z0-9 :'.-]+$")).select("id", "title", N.sort_key(F.col("title")).alias("key"))
+    """The key by which titles sort as people count; NULL for a NULL title."""
+    return table(spark, d, "disks").select("id", "title", N.sort_key(F.col("title")).alias("key"))
 
 
 # Tables that change
@@ -467,17 +421,9 @@ def json_sums(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT DISTINCT image_record_id, lower(regexp_extract(name, '([^/\\\\]*)$', 1)) AS base,
            CASE WHEN position('.' IN regexp_extract(name, '([^/\\\\]*)$', 1)) > 0 THEN regexp_extract(lower(regexp_extract(name, '([^/\\\\]*)$', 1)), '^(.*)\\.[^.]*$', 1) ELSE lower(regexp_extract(name, '([^/\\\\]*)$', 1)) END AS stem
-    FROM image_records WHERE regexp_full_match(name, '[ -~]+')""")
+    FROM image_records WHERE name <> ''""")
 def image_file_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The names by which image files are joined."""
-    rows = table(spark, d, "image_records").where(F.col("name").rlike("^[ -~]+$"))
-    keys = N.image_name_keys(F.col("name"))
-    return rows.select("image_record_id", keys[0].alias("base"), F.coalesce(F.get(keys, F.lit(1)), keys[0]).alias("stem")).distinct()
-
-
-@query()
-def image_file_keys_all(spark: SparkSession, d: str) -> DataFrame:
-    """``image_file_keys`` over all names that are given; file names are joined as they are stored, but for case."""
+    """The names by which image files are joined, of all that have one."""
     rows = table(spark, d, "image_records").where("name <> ''")
     keys = N.image_name_keys(F.col("name"))
     return rows.select("image_record_id", keys[0].alias("base"), F.coalesce(F.get(keys, F.lit(1)), keys[0]).alias("stem")).distinct()
