@@ -160,4 +160,22 @@ def test_repeated_tokens_against_brute_force():
         t = [rnd.choice("abcdef"[: rnd.randrange(1, 7)]) for _ in range(rnd.randrange(14))]
         two = [tuple(t[i : i + 2]) for i in range(len(t) - 1)]
         want = [any(0 <= k < len(two) and two.count(two[k]) > 1 for k in (i - 1, i)) for i in range(len(t))]
-        assert spam.repeated(t) == want, t
+        assert spam.repeated(t, 2)[0] == want, t
+        assert spam.repeated(t, 2, 3, 4.2) == spam.repeated_in_long(t, 2, 3, 4.2), t
+
+
+def test_stuffing_in_invented_words():
+    rnd = random.Random(3)
+    words = "lamp desk chair oak walnut brass vintage modern rug sofa shelf mirror".split()
+    assert spam.stuffing(" ".join(rnd.choice(words) for _ in range(300)))[0] == 1
+    assert spam.stuffing(", ".join(f"vintage {w}" for w in words))[0] == 1
+    assert spam.stuffing("Greetings to Zorb, Kelvak of Munti, The Dralo Crew, Pim, Sarn and Tolk, Brix, Mog, Vantor, Ulma, Rix")[0] == 0
+    assert spam.stuffing("The lamp stands in the hall. We bought it in spring, and it has never failed us since. The desk came later.")[0] == 0
+    assert spam.stuffing("\n".join(f"http://shop{i}.store/x" for i in range(9)))[0] == 1 and spam.stuffing("\n".join(f"file{i}.adf 901120" for i in range(9)))[0] == 0
+
+
+def test_long_pages_are_measured_alike(monkeypatch):
+    page = "\n".join(STUFFED + GENUINE)
+    whole = spam.stuffing(page)
+    monkeypatch.setattr(spam, "LONG_PAGE", 10)
+    assert spam.stuffing(page) == whole
