@@ -235,8 +235,8 @@ def stuffing(text: str) -> tuple[float, float, int]:
 
 
 def _framed(pieces: list[list[str]], first: Counter, last: Counter) -> bool:
-    """Whether six pieces or more are mostly framed by words that frame others: 0.8 of them, or 0.7 by three different words."""
-    if len(pieces) < 6 or sum(map(len, pieces)) > 7 * len(pieces):
+    """Whether six pieces or more are mostly framed by words that frame others (and half of them differ): 0.8 of them, or 0.7 by three different words."""
+    if len(pieces) < 6 or sum(map(len, pieces)) > 7 * len(pieces) or 2 * len(set(map(tuple, pieces))) < len(pieces):
         return False
     heads = [w[0] if len(w) > 1 and first[w[0]] >= 2 else "" for w in pieces]
     tails = [w[-1] if len(w) > 1 and last[w[-1]] >= 2 else "" for w in pieces]
