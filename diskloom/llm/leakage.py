@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diskloom.functions.text import plain
+from diskloom.session import cut
 
-#: Characters of documents that one suffix array covers, and of evaluation texts that one pass carries to the tasks.
-SHARD_CHARS, BLOCK_CHARS = 8_000_000, 4_000_000
-#: Words of a verbatim match that an index looks for if not told otherwise, and of a passage that counts towards the share held.
-SEED_WORDS, PASSAGE_WORDS = 5, 3
+#: Characters of documents that one suffix array covers, and of evaluation texts that one pass over the documents looks for.
+SHARD_CHARS, BLOCK_CHARS = 8_000_000, 8_000_000
+#: Words of a passage that counts towards the share held.
+PASSAGE_WORDS = 3
 #: Share of an item's words that passages must cover.
 LEAST_SHARE = 0.5
-_WIDTH = 3  # bytes of a word's number, so that up to 16 million words differ
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[a-z0-9]+")
+FOUND = "doc_id long, item_id long, share double, passages array<struct<doc_word:int,item_word:int,words:int>>"
 
 
 def leak_words(text: str) -> list[str]:
@@ -31,113 +32,146 @@ def leak_words(text: str) -> list[str]:
     return _WORD.findall(plain(_TAG.sub(" ", _BREAK.sub("", text))).lower())
 
 
+class _Heads:
+    """The starts of ``width`` words of all suffixes of some items, numbered in two steps so that a vocabulary of any size fits 64 bits."""
+
+    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], words: int):
+        self.width, self.base = width, words + 1
+        place = np.concatenate([np.arange(len(w) - width + 1) for _, w in items])
+        owner = np.concatenate([np.full(len(w) - width + 1, i) for i, w in items])
+        flat = np.concatenate([np.append(w, np.zeros(width, dtype=np.int64)) for _, w in items])
+        starts = np.cumsum([0] + [len(w) + width for _, w in items])[:-1]
+        at = np.concatenate([s + np.arange(len(w) - width + 1) for s, (_, w) in zip(starts, items)])
+        self.steps: list[np.ndarray] = []
+        key = flat[at]
+        for k in range(1, width):
+            known = np.unique(key)
+            self.steps.append(known)
+            key = np.searchsorted(known, key) * self.base + flat[at + k]
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.bounds = np.append(first, len(key))
+        self.owner, self.place = owner[order], place[order]
+
+    def of(self, flat: np.ndarray) -> np.ndarray:
+        """The number of the head at each position of a text, -1 where no item has these words."""
+        n = len(flat) - self.width + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.int64)
+        key = flat[:n].copy()
+        for k, known in enumerate(self.steps, 1):
+            i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            key = np.where((key > 0) & (known[i] == key) & (flat[k : k + n] > 0), i * self.base + flat[k : k + n], -1)
+        return np.where(key > 0, key, -1)
+
+
 class ItemIndex:
     """The words of evaluation items as numbers; all their suffixes are looked up in the suffix array of a shard."""
 
-    def __init__(self, items: list[tuple[int, str]], seed_words: int = SEED_WORDS):
+    def __init__(self, items: list[tuple[int, str]], seed_words: int = PASSAGE_WORDS):
         self.numbers: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
         for item, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in leak_words(text)]
             if words:
                 self.items[item] = words
-        self.suffixes: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # by their first words: items share wording
-        for item, words in self.items.items():
-            least = min(seed_words, len(words))
-            for j in range(len(words) - least + 1):
-                self.suffixes[self._bytes(words[j : j + least])].append((item, j))
-
-    @staticmethod
-    def _bytes(words: list[int]) -> bytes:
-        return b"".join(w.to_bytes(_WIDTH, "big") for w in words)
+        self.ids = list(self.items)
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for i, item in enumerate(self.ids):
+            by_width[min(seed_words, len(self.items[item]))].append((i, np.asarray(self.items[item], dtype=np.int64)))
+        self.heads = [_Heads(w, owned, len(self.numbers)) for w, owned in sorted(by_width.items())]
+
+    def passages(self, documents: list[tuple[int, list[int]]]) -> np.ndarray:
+        """All longest verbatim matches of ``seed_words`` words or more (fewer for shorter items): rows (document's place, item's place, word of the document, word of the item, words), sorted.
+
+        The shard's words lie in one array. The positions at which a head of an item stands, sorted by their words, are
+        the part of its suffix array that can match (kept as whole numbers, so its size does not depend on how long
+        items are); each distinct start of an item's suffix is found in it by binary search. Matches that go on
+        diagonally are one longer match.
+        """
+        sizes = np.array([len(w) for _, w in documents], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] if len(sizes) else np.empty(0, dtype=np.int64)
+        flat = np.zeros(int(sizes.sum() + len(sizes)), dtype=np.int64)
+        for s, (_, w) in zip(starts.tolist(), documents):
+            flat[s : s + len(w)] = w
+        out = []
+        for heads in self.heads:
+            key = heads.of(flat)
+            at = np.flatnonzero(key >= 0)
+            array = at[np.argsort(key[at], kind="stable")]
+            sorted_keys = key[array]
+            low, high = np.searchsorted(sorted_keys, heads.keys, "left"), np.searchsorted(sorted_keys, heads.keys, "right")
+            hits, own = high - low, np.diff(heads.bounds)
+            met = np.flatnonzero(hits)
+            if not len(met):
+                continue
+            each = hits[met] * own[met]  # every position of a head with every item's suffix that begins so
+            head = np.repeat(met, each)
+            nth = np.arange(len(head)) - np.repeat(np.cumsum(each) - each, each)
+            p = array[low[head] + nth // own[head]]
+            o = heads.bounds[head] + nth % own[head]
+            item, j = heads.owner[o], heads.place[o]
+            order = np.lexsort((p, p - j, item))
+            p, j, item = p[order], j[order], item[order]
+            new = np.ones(len(p), dtype=bool)
+            new[1:] = (item[1:] != item[:-1]) | (p[1:] - j[1:] != p[:-1] - j[:-1]) | (p[1:] != p[:-1] + 1)
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(p))) + heads.width - 1
+            place = np.searchsorted(starts, p[first], "right") - 1
+            out.append(np.column_stack([place, item[first], p[first] - starts[place], j[first], n]))
+        found = np.concatenate(out) if out else np.empty((0, 5), dtype=np.int64)
+        return found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
 
     def candidates(self, documents: list[tuple[int, list[int]]]) -> dict[tuple[int, int], set[int]]:
-        """Words of each item that lie in a verbatim match of ``seed_words`` or more with a document: {(document's place, item): places in the item}.
-
-        The suffixes of the shard's documents that can begin a match are sorted (a suffix array over the words that
-        occur in items, sparse as all others end every match); each distinct start of an item's suffix is found by
-        binary search, and the longest match with every document suffix in its range is read off.
-        """
-        shortest = min((len(k) // _WIDTH for k in self.suffixes), default=0)
-        longest = max((len(w) for w in self.items.values()), default=0)
-        array: list[tuple[bytes, int]] = []
-        for place, (_, words) in enumerate(documents):
-            start = 0
-            n = len(words)
-            while start < n:
-                if not words[start]:
-                    start += 1
-                    continue
-                end = start
-                while end < n and words[end]:
-                    end += 1
-                if end - start >= shortest:
-                    run = self._bytes(words[start:end])
-                    array += [(run[_WIDTH * i : _WIDTH * (i + longest)], place) for i in range(end - start - shortest + 1)]
-                start = end
-        array.sort()
-        keys = [k for k, _ in array]
+        """Words of each item that lie in passages of a document: {(document's place, item): places in the item}."""
         met: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for head, starts in self.suffixes.items():
-            at = bisect_left(keys, head)
-            while at < len(keys) and keys[at].startswith(head):
-                suffix, place = array[at]
-                for item, j in starts:
-                    words = self.items[item]
-                    n = len(head) // _WIDTH
-                    most = min(len(suffix) // _WIDTH, len(words) - j)
-                    while n < most and int.from_bytes(suffix[_WIDTH * n : _WIDTH * (n + 1)], "big") == words[j + n]:
-                        n += 1
-                    met[place, item].update(range(j, j + n))
-                at += 1
+        for place, i, _, j, n in self.passages(documents).tolist():
+            met[place, self.ids[i]].update(range(j, j + n))
         return met
 
-    def share(self, item: int, words: list[int]) -> float:
-        """Share of an item's words that a document holds in passages of PASSAGE_WORDS or more, in the item's order."""
-        own = self.items[item]
-        least = min(PASSAGE_WORDS, len(own))
-        places: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for j in range(len(own) - least + 1):
-            places[tuple(own[j : j + least])].append(j)
-        passages: list[list[int]] = []
-        active: dict[int, list[int]] = {}
-        for p in range(len(words) - least + 1):
-            new: dict[int, list[int]] = {}
-            if words[p]:
-                for j in places.get(tuple(words[p : p + least]), ()):
-                    if (known := active.get(j - 1)) is not None:
-                        known[2] += 1
-                        new[j] = known
-                    else:
-                        new[j] = [p, j, least]
-                        passages.append(new[j])
-            active = new
-        best: list[int] = []
-        for k, (p, j, n) in enumerate(passages):
-            top = n
-            for m in range(k):
-                q, i, l = passages[m]  # noqa: E741
-                if q < p and i < j:
-                    gain = n - max(0, q + l - p, i + l - j)
-                    if gain > 0 and best[m] + gain > top:
-                        top = best[m] + gain
-            best.append(top)
-        return max(best, default=0) / len(own)
+    def leaks(self, documents: list[tuple[int, list[int]]], least_share: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
+        """(document's place, item, share, passages) of each item of which a document's passages, in the item's order, hold the share."""
+        found = self.passages(documents)
+        if not len(found):
+            return
+        pair = found[:, 0] * len(self.ids) + found[:, 1]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        most = np.add.reduceat(found[:, 4], first)  # overlapping passages count twice here, so no pair is missed
+        sizes = np.array([len(self.items[i]) for i in self.ids])[found[first, 1]]
+        ends = np.append(first[1:], len(found))
+        for k in np.flatnonzero(most >= least_share * sizes).tolist():
+            share, chain = chained(found[first[k] : ends[k], 2:])
+            share /= int(sizes[k])
+            if share >= least_share:
+                yield int(found[first[k], 0]), self.ids[int(found[first[k], 1])], share, chain
+
+
+def chained(passages: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
+    """The most words of an item that passages (rows: word of the document, word of the item, words; sorted) cover in the item's order, and the passages that do so."""
+    p, j, n = passages[:, 0], passages[:, 1], passages[:, 2]
+    best, before = n.astype(np.int64), np.full(len(n), -1)
+    for k in range(1, len(n)):
+        gain = best[:k] + n[k] - np.maximum(0, np.maximum(p[:k] + n[:k] - p[k], j[:k] + n[:k] - j[k]))
+        gain[(p[:k] >= p[k]) | (j[:k] >= j[k]) | (gain <= best[:k])] = 0
+        m = int(gain.argmax())
+        if gain[m] > best[k]:
+            best[k], before[k] = gain[m], m
+    k = int(best.argmax())
+    top, chain = int(best[k]), []
+    while k >= 0:
+        chain.append((int(p[k]), int(j[k]), int(n[k])))
+        k = int(before[k])
+    return top, chain[::-1]
 
 
 def _leaks(items: list[tuple[int, str]], least_share: float):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(items, PASSAGE_WORDS)
+        index = ItemIndex(items)
         numbers = index.numbers
 
         def found(shard: list[tuple[int, list[int]]]) -> pd.DataFrame:
-            rows = []
-            for (place, item), covered in index.candidates(shard).items():
-                if len(covered) >= least_share * len(index.items[item]):  # passages lie in what is covered
-                    share = index.share(item, shard[place][1])
-                    if share >= least_share:
-                        rows.append((shard[place][0], item, share))
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
+            rows = [(shard[place][0], item, share, [dict(zip(("doc_word", "item_word", "words"), x)) for x in chain]) for place, item, share, chain in index.leaks(shard, least_share)]
+            return pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "passages"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
         shard: list[tuple[int, list[int]]] = []
         size = 0
@@ -169,24 +203,32 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Each document that holds ``least_share`` or more of an item's words in the item's order: ``doc_id, item_id, share``.
+    """Each document that holds ``least_share`` or more of an item's words in the item's order: ``doc_id, item_id, share, passages``.
 
     Documents are cut into shards of about SHARD_CHARS characters as they stream through a task; each shard gets a
-    suffix array of its words, in which all suffixes of all items are looked up by binary search. Items whose words
-    are covered to the share by verbatim matches of PASSAGE_WORDS are then held against the document exactly: passages
-    of PASSAGE_WORDS or more, chained in the item's order, must make up the share. As these lie in such matches, none is missed. Layout, markup, entities, damaged
-    encodings, letter forms, accents and case make no difference. The documents are read once for each block of
-    BLOCK_CHARS of items and never shuffled; only found pairs are.
+    suffix array of its words, in which all suffixes of all items are looked up by binary search. Verbatim passages of
+    PASSAGE_WORDS or more, chained in the item's order, must make up the share; ``passages`` gives their places, counted
+    in words, in the document and in the item. Layout, markup, entities, damaged encodings, letter forms, accents and
+    case make no difference. The documents are read once for each block of BLOCK_CHARS of items and never shuffled;
+    only found pairs are. The driver holds one block of items at a time: with several, each block's pairs are written
+    to the shared folder before the next is fetched.
 
     Whole texts are scanned. NULL, empty and wordless texts and items are never part of a leak; repeated rows give one
     row, of different texts under one id the largest share counts. Empty tables give no rows.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    parts = [texts.mapInPandas(_leaks(block, least_share), "doc_id long, item_id long, share double") for block in _blocks(known)]
-    if not parts:
-        return texts.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("share"))
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    parts: list[DataFrame] = []
+    before = None
+    for block in _blocks(known):
+        if before is not None:
+            parts.append(cut(texts.mapInPandas(_leaks(before, least_share), FOUND)))
+        before = block
+    if before is None:
+        return documents.sparkSession.createDataFrame([], FOUND)
+    last = texts.mapInPandas(_leaks(before, least_share), FOUND)
+    rows = reduce(DataFrame.unionByName, parts, last).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "passages")).alias("x"))
+    return rows.select("doc_id", "item_id", "x.share", "x.passages")
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:

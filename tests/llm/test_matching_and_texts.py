@@ -103,6 +103,26 @@ def test_leaks_with_every_fifth_or_fourth_word_changed(spark):
     assert leaks(spark, docs) == {(4, 1), (5, 1)}
 
 
+def test_places_of_leaks(spark):
+    w = ITEM.split()
+    d = spark.createDataFrame([(1, "some words before " + " ".join(w[:12]) + " and between " + " ".join(w[15:30]))], "doc_id long, text string")
+    (row,) = leakage.leaked_items(d, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert [tuple(x) for x in row.passages] == [(3, 0, 12), (17, 15, 15)] and abs(row.share - 27 / len(w)) < 1e-9
+
+
+def test_chains_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(300):
+        rows = sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3, 6)) for _ in range(rnd.randrange(1, 8))})
+        best = [n for _, _, n in rows]
+        for k, (p, j, n) in enumerate(rows):
+            for m in range(k):
+                q, i, size = rows[m]
+                if q < p and i < j and (gain := n - max(0, q + size - p, i + size - j)) > 0:
+                    best[k] = max(best[k], best[m] + gain)
+        assert leakage.chained(leakage.np.array(rows))[0] == max(best)
+
+
 def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     docs = [(i, f"{i} {ITEM if i % 3 else OTHER} {i}") for i in range(12)]
     whole = leaks(spark, docs)
@@ -115,7 +135,7 @@ def test_suffix_search_against_brute_force():
     for _ in range(60):
         text = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
         items = [(i, text(rnd.randrange(1, 12))) for i in range(4)]
-        index = leakage.ItemIndex(items)
+        index = leakage.ItemIndex(items, 5)
         docs = [(j, [index.numbers.get(w, 0) for w in text(rnd.randrange(0, 30)).split()]) for j in range(5)]
         got = index.candidates(docs)
         for j, words in docs:
