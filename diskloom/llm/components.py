@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diskloom.operators.skew import lookup_join
@@ -70,7 +71,8 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
     share of the vertices in expectation, whatever the shape of the chains.
 
     The hash spreads a vertex with a third of all pairs over the g cells of its row; g grows with the pairs so that a
-    cell keeps about ``cell_edges`` pairs and no more than about ``cell_hot_edges`` of one vertex. Rounds are cut by
+    cell keeps about ``cell_edges`` pairs, and with the largest degree so that it gets no more than about
+    ``cell_hot_edges`` of one vertex. Rounds are cut by
     checkpoints in the shared folder. Pairs with a NULL end are left out; a pair of a vertex with itself gives a group
     of one; repeated pairs and either order change nothing; no pairs give no rows.
     """
@@ -82,7 +84,10 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
         n = edges.count()
         if not n:
             break
-        g = max(math.ceil((math.sqrt(8 * n / cell_edges + 1) - 1) / 2), math.ceil(n / 3 / cell_hot_edges))  # g (g + 1) / 2 cells
+        g = math.ceil((math.sqrt(8 * n / cell_edges + 1) - 1) / 2)  # g (g + 1) / 2 cells
+        if n > cell_hot_edges * g:  # only then can a vertex have more pairs than its cells should hold
+            ends = edges.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+            g = max(g, math.ceil(ends.agg(F.max("d")).first()[0] / cell_hot_edges))
         block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(salt)), F.lit(g))
         cells = edges.withColumn("_a", block("src")).withColumn("_b", block("dst"))
         cells = cells.withColumn("row", F.least("_a", "_b")).withColumn("col", F.greatest("_a", "_b"))
@@ -107,6 +112,26 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("lo")))
 
 
+def string_codes(nodes: DataFrame, column: str) -> Callable[[Column | str], Column]:
+    """A function from a column of strings to whole numbers, different for every two strings of ``nodes``.
+
+    Numbers are 64-bit hashes. Whether two strings share one is checked, not hoped for: of such strings (about
+    n squared / 2^65 of n) all but the first are told apart by a number of their own below 0, hashes being 0 or more.
+    """
+    code = lambda c: F.xxhash64(c).bitwiseAND(F.lit(2**63 - 1))
+    shared = nodes.select(F.col(column).alias("s")).distinct().groupBy(code("s").alias("h")).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("h")
+    hashes = [r[0] for r in shared.collect()]  # none but for billions of strings
+    if not hashes:
+        return code
+    twins = sorted(r[0] for r in nodes.select(F.col(column).alias("s")).where(code("s").isin(hashes)).distinct().collect())
+
+    def coded(c: Column | str) -> Column:
+        text = F.col(c) if isinstance(c, str) else c
+        return F.coalesce(F.try_element_at(F.create_map(*(x for i, t in enumerate(twins) for x in (F.lit(t), F.lit(-1 - i)))), text).cast("long"), code(text))
+
+    return coded
+
+
 #: Added to an image's id to make its vertex, so that a disc comes before any image and equal ids stay two things.
 IMAGE = 1 << 61
 

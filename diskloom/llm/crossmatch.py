@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diskloom.functions.strings import edit_distance
 from diskloom.functions.text import plain, says_nothing, split_camel, unleet
-from diskloom.llm.components import connected_groups
+from diskloom.llm.components import connected_groups, string_codes
+from diskloom.llm.names import near_strings
 from diskloom.session import cut
 
-#: A title word in one of so many records or more is common. At most WORDS x COMMON_SHARE words can be, so they may be broadcast.
-COMMON_SHARE = 1000
+#: A title word is common if it stands beside so many different other words, in however many records: a word of the language, not a name.
+COMPANIONS = 8
+#: At most so many common words (those with most companions) are given to every task.
+MOST_COMMON = 50_000
+#: A word is a slip of another (a typing error, or a filler run together with it) if that one has so many times its companions.
+SLIP = 5
 #: A checksum tells if at most so many titles have it, however many records; or if one title has so much of its records.
 FEW_TITLES, ONE_TITLE = 3, 0.5
 #: Words whose correction a task remembers; beyond it the memory starts anew.
 MOST_KNOWN = 200_000
+#: Saturation and length norm of BM25; the norm does not touch titles, which releases of one title share.
+K1, B = 1.2, 0.75
+#: Weight of a year one off against an equal one, and of a year further off.
+NEAR_YEAR, OTHER_YEAR = 0.5, -2.0
+#: Releases that are kept of each record's ranking: the nearest and the next.
+TOP = 2
+#: Records with a known release on which the confidence is calibrated, at most.
+LABELLED = 20_000
+#: With fewer than this, fixed coefficients stand in: of the constant and of EVIDENCE.
+LEAST_LABELLED, UNFITTED = 200, (0.0, 1.5, 2.0, -2.0, -4.0, -0.5)
+#: What the confidence of a ranking is made of.
+EVIDENCE = ("gap", "alone", "tied", "other_year", "apart")
+#: Spellings of publishers of one title that are compared in one task; more of them meet by segments.
+MOST_SPELLINGS = 200
 # Words that tell nothing in a title, and in a publisher's name.
 _FILLERS = frozenset("the a an of and o n".split())
 _PUBLISHER_KINDS = "software soft games arts design entertainment productions interactive ltd inc gmbh sa uk usa co corp company llc limited international publishing group ag bv plc".split()
@@ -35,7 +56,7 @@ def part_number(text: str | None) -> int:
     t = re.sub("[^0-9a-z]", "", plain(text or "").lower())
     t = re.sub("^(disk|disc|part|side)", "", t)
     if t.isdigit():
-        return int(t[:6])
+        return int(t)
     return ord(t) - 96 if len(t) == 1 else 0
 
 
@@ -54,7 +75,7 @@ def parse_title(title: str | None) -> tuple[list[str], int, int]:
     for i, t in enumerate(tokens):
         dotted = t[-1] in ".…"
         w = unleet(t.rstrip(".…")).lower()
-        if i and i >= len(tokens) - 2 and (w in _ROMAN or (w.isdigit() and int(w[:4]) < 100)):
+        if i and i >= len(tokens) - 2 and (w in _ROMAN or (w.isdigit() and int(w) < 100)):
             number = _ROMAN.get(w) or int(w)
             continue
         w = re.sub("[^a-z0-9]", "", w)
@@ -102,8 +123,8 @@ def _parse_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "record_id": b["record_id"],
                 "source": b["source"],
                 "platform": b["platform"],
-                "part": [part_number(p) or t[2] for p, t in zip(b["part"], titles)],
-                "number": [t[1] for t in titles],
+                "part": [str(part_number(p) or t[2]) for p, t in zip(b["part"], titles)],
+                "number": [str(t[1]) for t in titles],
                 "words": [sorted(set(t[0])) for t in titles],
                 "year": [year_of(d) for d in b["date_text"]],
                 "publisher": [publisher_core(p) for p in b["publisher"]],
@@ -126,6 +147,24 @@ def _reach(word: str) -> int:
     return 2 if len(word) >= 7 else 1 if len(word) >= 4 else 0
 
 
+def common_words(companions: dict[str, int]) -> list[str]:
+    """The words that are no slips of others, by how many companions each has."""
+    near: dict[str, set[str]] = {}
+    for w in companions:
+        if len(w) >= 4:
+            for v in deletions(w, 1):
+                near.setdefault(v, set()).add(w)
+    out = []
+    for w, n in companions.items():
+        others = set().union(*(near.get(v, ()) for v in deletions(w, 1))) if len(w) >= 4 else set()
+        bare = {re.sub("(?<=.{4})(?:andthe|ofthe|of|and|the)$", "", w), re.sub("^(?:andthe|ofthe|of|and|the|o)(?=.{4})", "", w)} - {w}
+        slip = (len(w) <= 4 and any(edit_distance(w, f, 1) <= 1 for f in ("the", "and", "of"))) or any(companions.get(v, 0) > n for v in bare)
+        slip = slip or any(companions[o] >= SLIP * n for o in others if edit_distance(w, o, 1) == 1)
+        if not slip:
+            out.append(w)
+    return sorted(out)
+
+
 class WordFixer:
     """Puts title words right against the common words of all titles: typing errors, abbreviations, words run together."""
 
@@ -288,23 +327,141 @@ def _verify_titles(common: list[str]):
     return verify
 
 
-def _publisher_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One name for the spellings of each publisher among those of one title."""
+def same_publisher(x: str, y: str) -> bool:
+    """Whether two telling words of publishers are one: within three edits by their length, or one the beginning of the other."""
+    short = min(len(x), len(y))
+    return edit_distance(x, y, 3) <= (3 if short >= 9 else 2 if short >= 5 else 0) or (short >= 4 and (x.startswith(y) or y.startswith(x)))
+
+
+def _publisher_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spellings of one publisher among those of one title."""
+    for b in batches:
+        yield pd.DataFrame([(t, x, y) for t, names in zip(b["title"], b["names"]) for x, y in combinations(sorted(names), 2) if same_publisher(x, y)], columns=["title", "x", "y"])
+
+
+def _check_publishers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for title, names in zip(b["title"], b["names"]):
-            names = sorted(names)
-            parent = {n: n for n in names}
-            def root(n: str) -> str:
-                while parent[n] != n:
-                    n = parent[n]
-                return n
-            for x, y in combinations(names, 2):
-                if edit_distance(x, y, 3) <= (3 if min(len(x), len(y)) >= 9 else 2 if min(len(x), len(y)) >= 5 else 0) or (min(len(x), len(y)) >= 4 and (x.startswith(y) or y.startswith(x))):
-                    x, y = root(x), root(y)
-                    parent[max(x, y)] = min(x, y)
-            rows += [(title, n, root(n)) for n in names]
-        yield pd.DataFrame(rows, columns=["title", "publisher", "release"])
+        yield b.loc[[same_publisher(x, y) for x, y in zip(b["x"], b["y"])]]
+
+
+def _releases(rows: DataFrame) -> DataFrame:
+    """``title, publisher, release``: the spellings of each title's publishers, spellings of one publisher under one name.
+
+    A title's few spellings are compared in one task; a title with more than MOST_SPELLINGS has them meet by segments
+    and by their first four letters, so no group is collected whatever its size.
+    """
+    known = cut(rows.where("publisher IS NOT NULL").select("title", "publisher").distinct())
+    sizes = known.groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = known.join(sizes.where(F.col("n") <= MOST_SPELLINGS).select("title"), "title").groupBy("title").agg(F.collect_list("publisher").alias("names"))
+    edges = few.mapInPandas(_publisher_pairs, "title long, x string, y string")
+    many = sizes.where(F.col("n") > MOST_SPELLINGS).select("title")
+    if not many.isEmpty():
+        rest = known.join(many, "title").select("title", F.col("publisher").alias("text"), F.concat_ws("|", F.col("title").cast("string"), "publisher").alias("node"))
+        met = near_strings(rest.select(F.col("title").cast("string").alias("scope"), "node", "text"), rest.select(F.col("title").cast("string").alias("scope"), "node", "text"), 3)
+        met = met.select(F.substring_index("node", "|", 1).cast("long").alias("title"), F.col("text").alias("x"), F.col("probe").alias("y"))
+        heads = rest.where("length(text) >= 4").select("title", "text", F.substring("text", 1, 4).alias("h"))
+        alike = heads.withColumnRenamed("text", "x").join(heads.withColumnRenamed("text", "y"), ["title", "h"]).select("title", "x", "y")
+        edges = edges.unionByName(met.unionByName(alike).where("x < y").distinct().mapInPandas(_check_publishers, "title long, x string, y string"))
+    name = F.concat_ws("|", F.col("title").cast("string"), "publisher")
+    nodes = known.withColumn("name", name)
+    code = string_codes(nodes, "name")
+    of = lambda c: code(F.concat_ws("|", F.col("title").cast("string"), c))
+    groups = connected_groups(edges.select(of("x").alias("src"), of("y").alias("dst")))
+    return nodes.withColumn("code", code("name")).join(groups.withColumnRenamed("node", "code"), "code", "left").select("title", "publisher", F.coalesce("lo", "code").alias("release"))
+
+
+def logistic(features: np.ndarray, right: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
+    """Coefficients of a logistic regression by Newton's method, slightly held back towards 0."""
+    w = np.zeros(features.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        hessian = (features * (p * (1 - p))[:, None]).T @ features + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, features.T @ (right - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+class ReleaseIndex:
+    """An inverted index of releases by all their attributes, ranked by BM25; records are the queries.
+
+    Terms of a release are its title, its records' checksums and years, and its publisher; a term's frequency is the
+    number of records that give it, rarity counts releases. A title's list of releases is never walked: releases that
+    share no other term with a record score 0, or less if their years contradict it, so any TOP + 1 of them, those without
+    years first, stand for the rest, and the best TOP are exact.
+    """
+
+    def __init__(self, rows: DataFrame, weights: DataFrame):
+        known = rows.where("release IS NOT NULL")
+        checks = known.select("title", "release", F.explode("checksums").alias("checksum")).groupBy("title", "release", "checksum").agg(F.count(F.lit(1)).alias("tf"))
+        self.checks = cut(checks.join(weights, "checksum"))
+        years = known.where("year > 0").groupBy("title", "release", "year").agg(F.count(F.lit(1)).alias("tf"))
+        told = self.checks.groupBy("title", "release").agg(F.sum("tf").alias("told"))
+        docs = known.groupBy("title", "release").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("checksums") + F.when(F.col("year") > 0, 1).otherwise(0) + 1).alias("len"))
+        years = years.groupBy("title", "release").agg(F.map_from_entries(F.collect_list(F.struct("year", "tf"))).alias("years"))  # as many as there are years
+        self.docs = cut(docs.join(years, ["title", "release"], "left").join(told, ["title", "release"], "left"))
+        total = self.docs.agg(F.count(F.lit(1)), F.avg("len")).first()
+        self.n, self.avg = total[0], float(total[1] or 1.0)
+        by_year = self.docs.select(F.explode(F.map_keys("years")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("df")).collect()  # a few hundred years at most
+        self.rarity = {r["year"]: math.log(1 + (self.n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in by_year}
+        self.heads = self.docs.withColumn("_k", F.row_number().over(Window.partitionBy("title").orderBy(F.col("years").isNotNull(), "release"))).where(F.col("_k") <= TOP + 1).drop("_k")
+
+    def saturated(self, tf: Column) -> Column:
+        return F.when(tf > 0, tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / self.avg))).otherwise(0.0)
+
+    def ranked(self, queries: DataFrame) -> DataFrame:
+        """The nearest release of each query (``record_id, title, year, checksums, own``): ``record_id, release, score`` and what its certainty shows in.
+
+        ``gap`` to the next release (to none, the score itself), ``alone`` (no other release), ``tied`` (no gap to
+        another), ``other_year`` (its records say years further off), ``apart`` (both have telling checksums and share
+        none), ``shared`` (they share one).
+
+        ``own`` is the release of a record whose publisher is known and hidden: what the record itself gave to that
+        release does not count, and a release of it alone is none.
+        """
+        q = queries.select("record_id", "title", "year", "own", "sums")
+        mine = F.when(F.col("release").eqNullSafe(F.col("own")), 1).otherwise(0)
+        shared = queries.select("record_id", "title", "own", F.explode("checksums").alias("checksum")).distinct().join(self.checks, ["title", "checksum"])
+        shared = shared.select("record_id", "title", "release", "w", (F.col("tf") - mine).alias("tf")).where("tf > 0")
+        dated = self.docs.select("title", "release", F.explode(F.map_keys("years")).alias("_y"))
+        dated = q.where("year > 0").select("record_id", "title", F.explode(F.array(F.col("year") - 1, "year", F.col("year") + 1)).alias("_y")).join(dated, ["title", "_y"]).select("record_id", "title", "release")
+        some = q.join(self.heads.select("title", "release"), "title").select("record_id", "title", "release")
+        met = some.unionByName(dated).unionByName(shared.select("record_id", "title", "release"))
+        met = met.unionByName(q.where("own IS NOT NULL").select("record_id", "title", F.col("own").alias("release")))
+        docs = met.distinct().join(q, ["record_id", "title"]).join(self.docs, ["title", "release"]).where(F.col("n") > mine)
+        sums = shared.join(self.docs.select("title", "release", "len"), ["title", "release"]).select("record_id", "release", (F.col("w") * self.saturated(F.col("tf"))).alias("s")).groupBy("record_id", "release").agg(F.sum("s").alias("by_checksum"))
+        rarity = F.create_map(*(F.lit(x) for kv in (self.rarity or {0: 0.0}).items() for x in kv))
+        times = lambda d: F.coalesce(F.try_element_at("years", F.col("year") + d), F.lit(0)) - F.when(F.lit(d) == 0, mine).otherwise(0)
+        given = F.coalesce(F.aggregate(F.map_values("years"), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) - F.when(F.col("year") > 0, mine).otherwise(0)
+        worth = F.coalesce(F.try_element_at(rarity, "year"), F.lit(max(self.rarity.values(), default=0.0)))
+        equal, near = self.saturated(times(0)), F.greatest(self.saturated(times(-1)), self.saturated(times(1)))
+        other = (F.col("year") > 0) & (given > 0) & (equal == 0) & (near == 0)
+        by_year = F.when((F.col("year") == 0) | (given <= 0), 0.0).when(other, OTHER_YEAR * worth).otherwise(worth * F.greatest(equal, NEAR_YEAR * near))
+        held = F.coalesce("told", F.lit(0)) - F.col("sums") * mine
+        scored = docs.select("record_id", "release", by_year.alias("by_year"), other.alias("other_year"), ((F.col("sums") > 0) & (held > 0)).alias("both")).join(sums, ["record_id", "release"], "left")
+        scored = scored.select("record_id", "release", "other_year", (F.col("both") & F.col("by_checksum").isNull()).alias("apart"), F.col("by_checksum").isNotNull().alias("shared"), (F.coalesce("by_checksum", F.lit(0.0)) + F.col("by_year")).alias("score"))
+        best = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "release")
+        top = scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= TOP)
+        top = top.groupBy("record_id").agg(F.max_by(F.struct("release", "score", "other_year", "apart", "shared"), F.struct("score", -F.col("_k"))).alias("x"), F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        gap = F.when(F.col("n") == 1, F.col("x.score")).otherwise(F.col("x.score") - F.col("low"))
+        return top.select("record_id", "x.release", "x.score", gap.alias("gap"), (F.col("n") == 1).alias("alone"), ((F.col("n") > 1) & (gap <= 0)).alias("tied"), "x.other_year", "x.apart", "x.shared")
+
+    def calibrated(self, rows: DataFrame) -> Column:
+        """The chance that the first release of a ranking is right, as a logistic of ``EVIDENCE``.
+
+        Records with a known publisher are ranked with it hidden; their publisher tells whether the first release is
+        right. LABELLED of them at most are used, spread over all by a hash of their ids.
+        """
+        known = rows.where("release IS NOT NULL").orderBy(F.xxhash64("record_id", "source"), "record_id").limit(LABELLED).withColumn("own", F.col("release"))
+        own = known.select("record_id", "own")
+        got = self.ranked(known.select("record_id", "title", "year", "checksums", "sums", "own")).join(own, "record_id").select(*EVIDENCE, (F.col("release") == F.col("own")).alias("right")).toPandas()  # LABELLED rows
+        x = np.column_stack([np.ones(len(got)), got[list(EVIDENCE)].to_numpy(dtype=float)])
+        w = logistic(x, got["right"].to_numpy(dtype=float)) if len(got) >= LEAST_LABELLED else np.array(UNFITTED)
+        logit = F.lit(float(w[0]))
+        for name, weight in zip(EVIDENCE, w[1:]):
+            logit = logit + F.lit(float(weight)) * F.col(name).cast("double")
+        return 1 / (1 + F.exp(-logit))
 
 
 def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataFrame:
@@ -319,34 +476,38 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
        titles of dumps with one telling checksum that differ somewhat more.
     2. Releases: the known publishers of a title, spellings merged, are its releases; each holds the attributes of its
        records.
-    3. Each record without a publisher is scored against every release of its title: shared checksums weigh by rarity, an
-       equal or near year adds a fixed value, a year two or more off counts against it. (Not BM25, and neither top-k nor
-       a bound: all releases of a title are scored.) The nearest release takes it if the confidence, a logistic function of the lead over the next release, reaches
-       ``least_confidence``. A checksum weighs by how few titles have it, in however many records; one that
-       unrelated titles share (``FEW_TITLES``, ``ONE_TITLE``) tells nothing.
-    4. Records that no release takes are grouped among themselves by title with checksum or year.
+    3. Each record without a publisher is a query to the inverted index of releases (``ReleaseIndex``): BM25 over title,
+       checksums, years and publisher with exact top-k. Its confidence comes from the gap between the nearest release
+       and the next, through a logistic calibrated on records whose publisher is known and hidden, and must reach
+       ``least_confidence``. A checksum weighs by how few titles have it, in however many records; one that unrelated
+       titles share (``FEW_TITLES``, ``ONE_TITLE``) tells nothing.
+    4. The test of mutual nearness: a source describes a disc once, so a release takes of each source only the nearest
+       record: one with its publisher before others, then the highest score. A shared telling checksum stands by itself.
+    5. Records that no release takes are grouped among themselves by title with checksum or year.
 
     NULL or empty attributes tell nothing. Records whose title has no telling word stay alone, as do records without
     a platform. NULL ids are left out, repeated rows count once, no records give no rows.
     """
     parsed = cut(
         records.where("record_id IS NOT NULL").dropDuplicates(["record_id", "source"]).select("record_id", "source", F.coalesce("platform", F.lit("")).alias("platform"), "part", "title", "date_text", "publisher", "checksums")
-        .mapInPandas(_parse_records, "record_id long, source string, platform string, part int, number int, words array<string>, year int, publisher string, checksums array<string>")
+        .mapInPandas(_parse_records, "record_id long, source string, platform string, part string, number string, words array<string>, year int, publisher string, checksums array<string>")
     )
     total = parsed.count()
-    usual = parsed.select(F.explode("words").alias("word")).where("word NOT LIKE '%.'").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    common = sorted(r[0] for r in usual.where(F.col("n") >= max(3, -(-total // COMMON_SHARE))).collect())  # bounded: see COMMON_SHARE
+    beside = parsed.select(F.filter("words", lambda w: ~w.endswith(".")).alias("words")).distinct()
+    beside = beside.select(F.explode("words").alias("word"), "words").select("word", F.explode("words").alias("other")).where("word <> other").distinct()
+    usual = beside.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMPANIONS)
+    common = common_words({r[0]: r[1] for r in usual.orderBy(F.col("n").desc(), "word").limit(MOST_COMMON).collect()})
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixer = WordFixer(common)
         for b in batches:
             both = [fixer.fix(list(w)) for w in b["words"]]
             fixed = [f[0] for f in both]
-            number = [f[1] if f[1] and n == 1 else n for f, n in zip(both, b["number"])]
+            number = [str(f[1]) if f[1] and n == "1" else n for f, n in zip(both, b["number"])]
             node = [f"{p}|{k}|{n}|{' '.join(w)}" for p, k, n, w in zip(b["platform"], b["part"], number, fixed)]
             yield b.assign(words=fixed, number=number, node=node)
 
-    schema = "record_id long, source string, platform string, part int, number int, words array<string>, year int, publisher string, checksums array<string>, node string"
+    schema = "record_id long, source string, platform string, part string, number string, words array<string>, year int, publisher string, checksums array<string>, node string"
     rows = cut(parsed.mapInPandas(fix, schema).where(F.size("words") > 0))
     nodes = rows.select("node", "words", "platform", "part", "number").dropDuplicates(["node"])
     terms = nodes.mapInPandas(_title_keys(common), "node string, term string, cut boolean, prefix boolean")
@@ -356,7 +517,7 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
     words = nodes.select("node", "words")
     near = met.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     edges = near.select("a", "b", "words_a", "words_b").mapInPandas(_verify_titles(common), "a string, b string")
-    code = F.xxhash64
+    code = string_codes(nodes, "node")
     edges = cut(edges)
     spelled = connected_groups(edges.select(code("a").alias("src"), code("b").alias("dst"))).select(F.col("node").alias("code"), "lo")
     sums = rows.select("record_id", "node", "platform", "part", F.explode("checksums").alias("checksum")).distinct().withColumn("code", code("node"))
@@ -375,34 +536,30 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
     rows = rows.withColumn("code", code("node")).join(titles, "code", "left").select("record_id", "source", F.coalesce("lo", "code").alias("title"), "year", F.nullif("publisher", F.lit("")).alias("publisher"), "checksums")
     rows = cut(rows)
 
-    spellings = rows.where("publisher IS NOT NULL").groupBy("title").agg(F.collect_set("publisher").alias("names")).mapInPandas(_publisher_names, "title long, publisher string, release string")
-    rows = cut(rows.join(spellings, ["title", "publisher"], "left"))
-    checks = rows.select("record_id", "title", "release", F.explode("checksums").alias("checksum")).distinct()
-    checks = checks.join(weights, "checksum")
-    releases = rows.where("release IS NOT NULL").groupBy("title", "release").agg(F.collect_set(F.when(F.col("year") > 0, F.col("year"))).alias("years"))
-    loose = rows.where("release IS NULL").select("record_id", "title", "year")
-    shared = checks.where("release IS NULL").select("record_id", "title", "checksum", "w").join(checks.where("release IS NOT NULL").select("title", "checksum", "release").distinct(), ["title", "checksum"])
-    shared = shared.groupBy("record_id", "release").agg(F.sum("w").alias("by_checksum"))
-    scored = loose.join(releases, "title").join(shared, ["record_id", "release"], "left")
-    off = F.array_min(F.transform("years", lambda y: F.abs(y - F.col("year"))))
-    by_year = F.when((F.col("year") == 0) | (F.size("years") == 0), 0.5).when(off == 0, F.lit(3.0)).when(off == 1, F.lit(1.5)).otherwise(-6.0)
-    scored = scored.select("record_id", "title", "release", (F.coalesce("by_checksum", F.lit(0.0)) + by_year).alias("score"))
-    best = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "release")
-    ranked = scored.withColumn("k", F.row_number().over(best)).withColumn("next", F.lead("score").over(best)).where("k = 1")
-    lead = F.col("score") - F.greatest(F.coalesce("next", F.lit(0.0)), F.lit(0.0))
-    taken = ranked.withColumn("confidence", 1 / (1 + F.exp(-4 * (lead - 0.4)))).where(F.col("confidence") >= least_confidence).select("record_id", F.col("release").alias("to"), "confidence")
-    rows = cut(rows.join(taken, "record_id", "left").withColumn("release", F.coalesce("release", "to")).withColumn("confidence", F.coalesce("confidence", F.when(F.col("publisher").isNotNull(), 1.0))))
+    rows = rows.join(_releases(rows), ["title", "publisher"], "left")
+    checks = rows.select("record_id", F.explode("checksums").alias("checksum")).distinct().join(weights.select("checksum"), "checksum")
+    rows = cut(rows.join(checks.groupBy("record_id").agg(F.count(F.lit(1)).alias("sums")), "record_id", "left").withColumn("sums", F.coalesce("sums", F.lit(0))))
+    releases = rows.where("release IS NOT NULL").select("title").distinct().withColumn("known", F.lit(True))
+    index = ReleaseIndex(rows, weights)
+    confidence = index.calibrated(rows)
+    ranked = index.ranked(rows.where("release IS NULL").select("record_id", "title", "year", "checksums", "sums", F.lit(None).cast("long").alias("own")))
+    taken = ranked.withColumn("confidence", confidence).where(F.col("confidence") >= least_confidence).select("record_id", F.col("release").alias("to"), "confidence", "score", "shared")
+    offered = rows.join(taken, "record_id", "left").withColumn("offer", F.coalesce("release", "to")).withColumn("from", F.coalesce("source", F.lit("")))
+    nearest = offered.where("offer IS NOT NULL").groupBy("title", "offer", "from").agg(F.count("release").alias("_own"), F.max("score").alias("_top"))
+    mutual = F.col("release").isNotNull() | F.col("shared") | ((F.col("_own") == 0) & (F.col("score") >= F.col("_top")))
+    judged = offered.join(nearest, ["title", "offer", "from"], "left")
+    rows = cut(judged.select("record_id", "source", "title", "year", "publisher", "checksums", F.when(mutual, F.col("offer")).alias("release"), F.coalesce(F.when(F.col("publisher").isNotNull(), 1.0), "confidence").alias("confidence")))
 
     rest = rows.where("release IS NULL")
     spread = rest.groupBy("title").agg(F.min(F.when(F.col("year") > 0, F.col("year"))).alias("first"), F.max("year").alias("last"))
-    spread = spread.join(releases.groupBy("title").agg(F.lit(True).alias("known")), "title", "left").withColumn("one", F.col("known").isNull() & (F.col("first").isNull() | (F.col("last") - F.col("first") <= 1)))
+    spread = spread.join(releases, "title", "left").withColumn("one", F.col("known").isNull() & (F.col("first").isNull() | (F.col("last") - F.col("first") <= 1)))
     rest = rest.join(spread.select("title", "one"), "title")
     hub = lambda *c: F.xxhash64(F.lit("hub"), *c)
     own = F.xxhash64(F.lit("record"), "record_id")
     links = (
         rest.where("one").select(own.alias("src"), hub(F.lit("title"), "title").alias("dst"))
         .unionByName(rest.where("NOT one AND year > 0").select(own.alias("src"), hub(F.lit("year"), "title", "year").alias("dst")))
-        .unionByName(rest.where("NOT one").select("record_id").join(checks, "record_id").select(own.alias("src"), hub(F.lit("sum"), "title", "checksum").alias("dst")))
+        .unionByName(rest.where("NOT one").select("record_id", "title").join(checks, "record_id").select(own.alias("src"), hub(F.lit("sum"), "title", "checksum").alias("dst")))
     )
     groups = connected_groups(links)
     rest = rest.withColumn("own", own).join(groups.withColumnRenamed("node", "own"), "own", "left").select("record_id", "source", F.coalesce("lo", "own").alias("entity"), F.lit(0.5).alias("confidence"))

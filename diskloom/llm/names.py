@@ -94,10 +94,16 @@ def segments(length: int, pieces: int) -> list[tuple[int, int]]:
     return out
 
 
+def _shorter(s: str) -> set[str]:
+    """A string and what is left of it without one letter."""
+    return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+
+
 def _segment_index(k: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f"{len(s)}|{i}|{s[p : p + n]}", node, s) for node, s in zip(b["node"], b["text"]) if len(s) > k for i, (p, n) in enumerate(segments(len(s), k + 1))]
+            rows = [(f"{scope}|{len(s)}|{i}|{s[p : p + n]}", node, s) for scope, node, s in zip(b["scope"], b["node"], b["text"]) if len(s) > k for i, (p, n) in enumerate(segments(len(s), k + 1))]
+            rows += [(f"{scope}|~{v}", node, s) for scope, node, s in zip(b["scope"], b["node"], b["text"]) if len(s) <= k for v in _shorter(s)]
             yield pd.DataFrame(rows, columns=["key", "node", "text"])
 
     return emit
@@ -107,13 +113,15 @@ def _segment_probes(k: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for node, s in zip(b["node"], b["text"]):
+            for scope, node, s in zip(b["scope"], b["node"], b["text"]):
                 r = len(s)
+                if r <= k:
+                    rows += [(f"{scope}|~{v}", node, s) for v in _shorter(s)]
                 for length in range(max(k + 1, r - k), r + k + 1):
                     gap = r - length  # below 0 for longer strings
                     for i, (p, n) in enumerate(segments(length, k + 1)):
                         for at in range(max(0, p - (k - gap) // 2), min(r - n, p + (k + gap) // 2) + 1):
-                            rows.append((f"{length}|{i}|{s[at : at + n]}", node, s))
+                            rows.append((f"{scope}|{length}|{i}|{s[at : at + n]}", node, s))
             yield pd.DataFrame(rows, columns=["key", "other", "probe"]).drop_duplicates()
 
     return emit
@@ -124,8 +132,12 @@ def near_strings(index: DataFrame, probes: DataFrame, k: int = SEARCH_EDITS) ->
 
     Each string of ``index`` (``node, text``) is cut into k + 1 segments; within k edits one of them must survive, and
     it can have moved by no more than the edits allow. Each string of ``probes`` looks up its substrings of the right
-    length at those places, for strings of every length that ``k`` edits can reach.
+    length at those places, for strings of every length that ``k`` edits can reach. Among
+    strings of k letters or fewer, any two would lie within k edits; those within one edit meet by leaving out a letter.
+    A column ``scope`` in both keeps pairs within one scope.
     """
+    if "scope" not in index.columns:
+        index, probes = index.withColumn("scope", F.lit("")), probes.withColumn("scope", F.lit(""))
     left = index.mapInPandas(_segment_index(k), "key string, node string, text string")
     right = probes.mapInPandas(_segment_probes(k), "key string, other string, probe string")
     return left.join(right, "key").where("node <> other").select("node", "text", "other", "probe").distinct()

@@ -39,6 +39,48 @@ def test_cross_source(spark):
     assert matches(spark, []) == set()
 
 
+def test_nearest_in_both_directions(spark):
+    rows = [(1, "a", "st", "", "Quest of Grunavel", "1990", "Brazoplik", []), (2, "b", "st", "", "Quest of Grunavel", "1990", "Brazoplik", []), (3, "a", "st", "", "Quest of Grunavel", "1990", None, [])]
+    rows += [(4, "c", "st", "", "Quest of Grunavel", "", None, [])]
+    assert matches(spark, rows) == {(1, 2), (1, 4), (2, 4)}  # 3 is of a source that has a nearer record
+
+
+def test_bm25_of_releases(spark):
+    rows = [(r, f"s{r}", t, y, p, c) for r, t, y, p, c in [(1, 7, 1990, "bra", ["aa"]), (2, 7, 1990, "bra", ["aa"]), (3, 7, 1995, "wim", ["bb"]), (4, 7, 1995, "wim", []), (5, 7, 0, None, ["aa"]), (6, 7, 1994, None, []), (7, 7, 0, None, [])]]
+    df = spark.createDataFrame(rows, "record_id long, source string, title long, year int, publisher string, checksums array<string>").withColumn("release", F.when(F.col("publisher") == "bra", 1).when(F.col("publisher") == "wim", 2)).withColumn("sums", F.size("checksums"))
+    index = cross.ReleaseIndex(df, spark.createDataFrame([("aa", 2.0), ("bb", 2.0)], "checksum string, w double"))
+    got = {r.record_id: r for r in index.ranked(df.where("release IS NULL").withColumn("own", F.lit(None).cast("long"))).collect()}
+    assert (got[5].release, got[6].release) == (1, 2) and got[5].gap > 0 and got[5].shared and got[7].tied and got[7].gap == 0
+
+    def part(tf, size, w):  # by hand, over two releases of five and four terms
+        return w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 5.5))
+
+    assert abs(got[5].score - part(2, 6, 2.0)) < 1e-9
+    hidden = {r.record_id: r for r in index.ranked(df.where("release = 1").withColumn("own", F.col("release"))).collect()}
+    assert hidden[1].release == 1 and hidden[1].score < part(2, 6, 2.0) + 10  # what it gave itself is left out
+
+
+def test_logistic():
+    rnd = cross.np.random.default_rng(3)
+    x = cross.np.column_stack([cross.np.ones(4000), rnd.normal(size=4000)])
+    y = (rnd.random(4000) < 1 / (1 + cross.np.exp(-(0.5 + 2 * x[:, 1])))).astype(float)
+    assert abs(cross.logistic(x, y) - [0.5, 2]).max() < 0.2
+
+
+def test_many_publishers_of_one_title(spark, monkeypatch):
+    names = ["brazoplik", "brazoplk", "wimpofax", "wimpofx", "wimp", "grunavel", "zar"]
+    rows = spark.createDataFrame([(1, n) for n in names] + [(2, "zar"), (2, None)], "title long, publisher string")
+    few = {(r.title, r.publisher): r.release for r in cross._releases(rows).collect()}
+    monkeypatch.setattr(cross, "MOST_SPELLINGS", 2)
+    many = {(r.title, r.publisher): r.release for r in cross._releases(rows).collect()}
+    assert few == many and len(set(few.values())) == 5 and few[1, "wimp"] == few[1, "wimpofx"]
+
+
+def test_digits_and_long_words():
+    assert cross.part_number("12345678901") == 12345678901 and cross.parse_title("Quest 1000000")[0] == ["quest", "1000000"]
+    assert cross.common_words({"odyssey": 77, "odysseyof": 8, "tunnel": 60, "funnel": 50, "tunel": 9, "teh": 20}) == ["funnel", "odyssey", "tunnel"]
+
+
 def test_checksums_tell_by_titles_not_records(spark):
     hot = [(i, f"s{i}", "st", "", "Quest of Grunavel", "1990", None, ["aaaaaaa1"]) for i in range(1, 20)]  # more records than any fixed number
     rows = [(20, "x", "st", "", "Quast of Gronafil", "1990", None, ["aaaaaaa1"])]  # alike by its checksum only
