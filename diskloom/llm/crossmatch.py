@@ -394,13 +394,13 @@ class ReleaseIndex:
 
     def __init__(self, rows: DataFrame, weights: DataFrame):
         known = rows.where("release IS NOT NULL")
-        checks = known.select("title", "release", F.explode("checksums").alias("checksum")).groupBy("title", "release", "checksum").agg(F.count(F.lit(1)).alias("tf"))
-        self.checks = cut(checks.join(weights, "checksum"))
+        checks = known.select("title", "release", F.explode("checksums").alias("checksum")).groupBy("title", "release", "checksum").agg(F.count(F.lit(1)).alias("tf")).join(weights, "checksum")
+        told = checks.groupBy("title", "release").agg(F.sum("tf").alias("told"))
         years = known.where("year > 0").groupBy("title", "release", "year").agg(F.count(F.lit(1)).alias("tf"))
-        told = self.checks.groupBy("title", "release").agg(F.sum("tf").alias("told"))
-        docs = known.groupBy("title", "release").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("checksums") + F.when(F.col("year") > 0, 1).otherwise(0) + 1).alias("len"))
         years = years.groupBy("title", "release").agg(F.map_from_entries(F.collect_list(F.struct("year", "tf"))).alias("years"))  # as many as there are years
+        docs = known.groupBy("title", "release").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("checksums") + F.when(F.col("year") > 0, 1).otherwise(0) + 1).alias("len"))
         self.docs = cut(docs.join(years, ["title", "release"], "left").join(told, ["title", "release"], "left"))
+        self.checks = cut(checks.join(self.docs.select("title", "release", "len"), ["title", "release"]))
         total = self.docs.agg(F.count(F.lit(1)), F.avg("len")).first()
         self.n, self.avg = total[0], float(total[1] or 1.0)
         by_year = self.docs.select(F.explode(F.map_keys("years")).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("df")).collect()  # a few hundred years at most
@@ -423,14 +423,14 @@ class ReleaseIndex:
         q = queries.select("record_id", "title", "year", "own", "sums")
         mine = F.when(F.col("release").eqNullSafe(F.col("own")), 1).otherwise(0)
         shared = queries.select("record_id", "title", "own", F.explode("checksums").alias("checksum")).distinct().join(self.checks, ["title", "checksum"])
-        shared = shared.select("record_id", "title", "release", "w", (F.col("tf") - mine).alias("tf")).where("tf > 0")
+        shared = shared.select("record_id", "title", "release", "w", "len", (F.col("tf") - mine).alias("tf")).where("tf > 0")
         dated = self.docs.select("title", "release", F.explode(F.map_keys("years")).alias("_y"))
         dated = q.where("year > 0").select("record_id", "title", F.explode(F.array(F.col("year") - 1, "year", F.col("year") + 1)).alias("_y")).join(dated, ["title", "_y"]).select("record_id", "title", "release")
         some = q.join(self.heads.select("title", "release"), "title").select("record_id", "title", "release")
         met = some.unionByName(dated).unionByName(shared.select("record_id", "title", "release"))
         met = met.unionByName(q.where("own IS NOT NULL").select("record_id", "title", F.col("own").alias("release")))
         docs = met.distinct().join(q, ["record_id", "title"]).join(self.docs, ["title", "release"]).where(F.col("n") > mine)
-        sums = shared.join(self.docs.select("title", "release", "len"), ["title", "release"]).select("record_id", "release", (F.col("w") * self.saturated(F.col("tf"))).alias("s")).groupBy("record_id", "release").agg(F.sum("s").alias("by_checksum"))
+        sums = shared.select("record_id", "release", (F.col("w") * self.saturated(F.col("tf"))).alias("s")).groupBy("record_id", "release").agg(F.sum("s").alias("by_checksum"))
         rarity = F.create_map(*(F.lit(x) for kv in (self.rarity or {0: 0.0}).items() for x in kv))
         times = lambda d: F.coalesce(F.try_element_at("years", F.col("year") + d), F.lit(0)) - F.when(F.lit(d) == 0, mine).otherwise(0)
         given = F.coalesce(F.aggregate(F.map_values("years"), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) - F.when(F.col("year") > 0, mine).otherwise(0)
@@ -439,29 +439,29 @@ class ReleaseIndex:
         other = (F.col("year") > 0) & (given > 0) & (equal == 0) & (near == 0)
         by_year = F.when((F.col("year") == 0) | (given <= 0), 0.0).when(other, OTHER_YEAR * worth).otherwise(worth * F.greatest(equal, NEAR_YEAR * near))
         held = F.coalesce("told", F.lit(0)) - F.col("sums") * mine
-        scored = docs.select("record_id", "release", by_year.alias("by_year"), other.alias("other_year"), ((F.col("sums") > 0) & (held > 0)).alias("both")).join(sums, ["record_id", "release"], "left")
-        scored = scored.select("record_id", "release", "other_year", (F.col("both") & F.col("by_checksum").isNull()).alias("apart"), F.col("by_checksum").isNotNull().alias("shared"), (F.coalesce("by_checksum", F.lit(0.0)) + F.col("by_year")).alias("score"))
+        scored = docs.select("record_id", "release", "own", by_year.alias("by_year"), other.alias("other_year"), ((F.col("sums") > 0) & (held > 0)).alias("both")).join(sums, ["record_id", "release"], "left")
+        scored = scored.select("record_id", "own", "release", "other_year", (F.col("both") & F.col("by_checksum").isNull()).alias("apart"), F.col("by_checksum").isNotNull().alias("shared"), (F.coalesce("by_checksum", F.lit(0.0)) + F.col("by_year")).alias("score"))
         best = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "release")
         top = scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= TOP)
-        top = top.groupBy("record_id").agg(F.max_by(F.struct("release", "score", "other_year", "apart", "shared"), F.struct("score", -F.col("_k"))).alias("x"), F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        top = top.groupBy("record_id", "own").agg(F.max_by(F.struct("release", "score", "other_year", "apart", "shared"), F.struct("score", -F.col("_k"))).alias("x"), F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
         gap = F.when(F.col("n") == 1, F.col("x.score")).otherwise(F.col("x.score") - F.col("low"))
-        return top.select("record_id", "x.release", "x.score", gap.alias("gap"), (F.col("n") == 1).alias("alone"), ((F.col("n") > 1) & (gap <= 0)).alias("tied"), "x.other_year", "x.apart", "x.shared")
+        return top.select("record_id", "own", "x.release", "x.score", gap.alias("gap"), (F.col("n") == 1).alias("alone"), ((F.col("n") > 1) & (gap <= 0)).alias("tied"), "x.other_year", "x.apart", "x.shared")
 
-    def calibrated(self, rows: DataFrame) -> Column:
-        """The chance that the first release of a ranking is right, as a logistic of ``EVIDENCE``.
 
-        Records with a known publisher are ranked with it hidden; their publisher tells whether the first release is
-        right. LABELLED of them at most are used, spread over all by a hash of their ids.
-        """
-        known = rows.where("release IS NOT NULL").orderBy(F.xxhash64("record_id", "source"), "record_id").limit(LABELLED).withColumn("own", F.col("release"))
-        own = known.select("record_id", "own")
-        got = self.ranked(known.select("record_id", "title", "year", "checksums", "sums", "own")).join(own, "record_id").select(*EVIDENCE, (F.col("release") == F.col("own")).alias("right")).toPandas()  # LABELLED rows
-        x = np.column_stack([np.ones(len(got)), got[list(EVIDENCE)].to_numpy(dtype=float)])
-        w = logistic(x, got["right"].to_numpy(dtype=float)) if len(got) >= LEAST_LABELLED else np.array(UNFITTED)
-        logit = F.lit(float(w[0]))
-        for name, weight in zip(EVIDENCE, w[1:]):
-            logit = logit + F.lit(float(weight)) * F.col(name).cast("double")
-        return 1 / (1 + F.exp(-logit))
+
+def calibrated(ranked: DataFrame) -> Column:
+    """The chance that the first release of a ranking is right, as a logistic of EVIDENCE.
+
+    ``ranked`` holds rankings of records with a known publisher that was hidden (``own``, LABELLED at most): their
+    publisher tells whether the first release is right.
+    """
+    got = ranked.where("own IS NOT NULL").select(*EVIDENCE, (F.col("release") == F.col("own")).alias("right")).toPandas()  # LABELLED rows
+    x = np.column_stack([np.ones(len(got)), got[list(EVIDENCE)].to_numpy(dtype=float)])
+    w = logistic(x, got["right"].to_numpy(dtype=float)) if len(got) >= LEAST_LABELLED else np.array(UNFITTED)
+    logit = F.lit(float(w[0]))
+    for name, weight in zip(EVIDENCE, w[1:]):
+        logit = logit + F.lit(float(weight)) * F.col(name).cast("double")
+    return 1 / (1 + F.exp(-logit))
 
 
 def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataFrame:
@@ -510,7 +510,7 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
     schema = "record_id long, source string, platform string, part string, number string, words array<string>, year int, publisher string, checksums array<string>, node string"
     rows = cut(parsed.mapInPandas(fix, schema).where(F.size("words") > 0))
     nodes = rows.select("node", "words", "platform", "part", "number").dropDuplicates(["node"])
-    terms = nodes.mapInPandas(_title_keys(common), "node string, term string, cut boolean, prefix boolean")
+    terms = cut(nodes.mapInPandas(_title_keys(common), "node string, term string, cut boolean, prefix boolean"))  # written once, read by both sides of both joins
     whole, short = terms.where("NOT prefix"), terms.where("prefix")
     pair = lambda x, y: x.select(F.col("node").alias("a"), "term").join(y.select(F.col("node").alias("b"), "term"), "term")
     met = pair(whole, whole).where("a < b").select("a", "b").unionByName(pair(short, short.where("cut")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
@@ -541,9 +541,10 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
     rows = cut(rows.join(checks.groupBy("record_id").agg(F.count(F.lit(1)).alias("sums")), "record_id", "left").withColumn("sums", F.coalesce("sums", F.lit(0))))
     releases = rows.where("release IS NOT NULL").select("title").distinct().withColumn("known", F.lit(True))
     index = ReleaseIndex(rows, weights)
-    confidence = index.calibrated(rows)
-    ranked = index.ranked(rows.where("release IS NULL").select("record_id", "title", "year", "checksums", "sums", F.lit(None).cast("long").alias("own")))
-    taken = ranked.withColumn("confidence", confidence).where(F.col("confidence") >= least_confidence).select("record_id", F.col("release").alias("to"), "confidence", "score", "shared")
+    columns = ["record_id", "title", "year", "checksums", "sums"]
+    hidden = rows.where("release IS NOT NULL").orderBy(F.xxhash64("record_id", "source"), "record_id").limit(LABELLED).select(*columns, F.col("release").alias("own"))  # spread over all by a hash of their ids
+    ranked = cut(index.ranked(hidden.unionByName(rows.where("release IS NULL").select(*columns, F.lit(None).cast("long").alias("own")))))
+    taken = ranked.where("own IS NULL").withColumn("confidence", calibrated(ranked)).where(F.col("confidence") >= least_confidence).select("record_id", F.col("release").alias("to"), "confidence", "score", "shared")
     offered = rows.join(taken, "record_id", "left").withColumn("offer", F.coalesce("release", "to")).withColumn("from", F.coalesce("source", F.lit("")))
     nearest = offered.where("offer IS NOT NULL").groupBy("title", "offer", "from").agg(F.count("release").alias("_own"), F.max("score").alias("_top"))
     mutual = F.col("release").isNotNull() | F.col("shared") | ((F.col("_own") == 0) & (F.col("score") >= F.col("_top")))
