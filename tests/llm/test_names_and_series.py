@@ -114,3 +114,24 @@ def test_large_group_and_consensus(spark):
     for _ in range(200):  # halving weights: the first value always wins
         values = [" ".join(rnd.choice(["ab", "cd", "ef", "abc"]) for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(1, 9))]
         assert survivor.consensus(values, [0.5**i for i in range(len(values))]) == values[0].split()
+
+
+def voted(spark, rows, **parameters):
+    df = spark.createDataFrame(rows, "g long, i long, v string, w double, row_id string")
+    return {(r.group_id, r.row_id) for r in survivor.surviving_rows(df, ["v"], group="g", row_id="i", trust=[F.col("i")], **parameters).collect()}
+
+
+def test_consensus_that_is_not_the_first_row(spark):
+    rows = [(1, 1, "Brazoplik Soft", 1.0, ""), (1, 2, "Brazoplik Software", 1.0, ""), (1, 3, "Brazoplik Software", 1.0, "")]
+    rows += [(2, 1, "Grunavel", 1.0, ""), (2, 2, "The Grunavel Arts", 1.0, ""), (2, 3, "Grunavel Arts", 1.0, ""), (2, 4, "Grunvel Arts", 1.0, "")]
+    assert voted(spark, rows, strict=False) == {(1, 2), (2, 3)} and voted(spark, rows) == {(1, 1), (2, 1)}
+    heavy = [(1, 1, "Brazoplik Soft", 5.0, ""), *rows[1:3]]
+    assert voted(spark, heavy, strict=False, weight=F.col("w")) == {(1, 1)}  # the weight of a row is a parameter
+
+
+def test_groups_aligned_in_chunks(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(g, i, f"Brazoplik Zorb Software {rnd.choice('abcdefgh')}{rnd.randrange(40)}" if i % 3 else "Brazoplik Zorb Software", 1.0, "") for g in (1, 2) for i in range(60)]
+    whole, strict = voted(spark, rows, strict=False), voted(spark, rows)
+    monkeypatch.setattr(survivor, "CHUNK", 4)
+    assert voted(spark, rows, strict=False) == whole == {(1, 0), (2, 0)} and voted(spark, rows) == strict == {(1, 0), (2, 0)}
