@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from diskloom.functions.strings import consonants, edit_distance, skeleton
 from diskloom.functions.text import plain, split_camel, unleet
+from diskloom.operators.skew import lookup_join
 
 # What kind of series a name says, and how people write that.
 SERIES_KINDS = {
@@ -28,6 +30,8 @@ SERIES_KINDS = {
 _KIND = {w: k for k, words in SERIES_KINDS.items() for w in words.split()}
 _KIND_SKELETON = {skeleton(w): k for w, k in sorted(_KIND.items(), key=lambda x: len(x[0])) if len(skeleton(w)) >= 2}
 _PLATFORM_HINT = {"st": "atari-st", "atari": "atari-st", "atarist": "atari-st", "amiga": "amiga", "ami": "amiga"}
+#: Share of the weighted trigrams of a typed name that a candidate's form must hold.
+LEAST_COMMON = 0.1
 _TAIL = re.compile(r"\s+(?:-\s*)?(?:all\s+(?:discs?|disks?)|incomplete|complete|cd|dvd|by\s+\S.*|(?:vol(?:ume)?|nr|no|number|issue|part|disks?|discs?)\b\.?\s*#?\d+\s*[a-z]?|#\s*\d+\s*[a-z]?|\d+\s*[a-z]?)\s*$")
 _NUMBER = re.compile(r"^(?:#|no\.?|nr\.?|vol\.?)?\d+[a-z]?$")
 
@@ -122,32 +126,63 @@ def _grams(c: str):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3)))
 
 
+def pairs_of(text: str) -> set[str]:
+    """Character n-grams with gaps: the ordered pairs of letters at most three places apart, ends included. A slip spoils few of them."""
+    s = f"^{text}$"
+    return {s[i] + s[j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + 4))}
+
+
+def _cosines(weights: dict[str, float], unknown: float):
+    """Cosine of each typed name and form by rarity-weighted gapped n-grams."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[set[str], float]] = {}
+
+        def sized(text: str) -> tuple[set[str], float]:
+            if text not in known:
+                grams = pairs_of(text)
+                known[text] = grams, math.sqrt(sum(weights.get(g, unknown) ** 2 for g in grams))
+            return known[text]
+
+        for b in batches:
+            if len(known) > 200_000:
+                known.clear()
+            out = []
+            for typed, form in zip(b["glued"], b["form"]):
+                (x, m), (y, n) = sized(typed), sized(form)
+                out.append(sum(weights.get(g, unknown) ** 2 for g in x & y) / (m * n))
+            yield b.assign(score=out)
+
+    return score
+
+
+def within_edits(typed: str, form: str) -> bool:
+    """Whether a typed name lies within the slips that a form's length allows; a form without vowels stands for a name typed without any."""
+    most = 3 if len(form) >= 14 else 2 if len(form) >= 7 else 1 if len(form) >= 5 else 0
+    if not re.search("[aeiou]", form) and re.search("[aeiou]", typed):
+        most = 0
+    return edit_distance(typed, form, most) <= most
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edits between each typed name and the form it met; more edits than the form's length allows give no row."""
     for b in batches:
-        edits = []
-        for typed, form in zip(b["glued"], b["form"]):
-            most = 3 if len(form) >= 14 else 2 if len(form) >= 7 else 1 if len(form) >= 5 else 0
-            if not re.search("[aeiou]", form) and re.search("[aeiou]", typed):
-                most = 0  # a form without vowels stands for a name typed without any
-            n = edit_distance(typed, form, most)
-            edits.append(n if n <= most else -1)
-        yield b.assign(edits=edits).query("edits >= 0")[["name", "listed", "edits", "score"]]
-
-
-def match_names(typed: DataFrame, listed: DataFrame, *, least_score: float = 0.1, least_margin: float = 0.05) -> DataFrame:
-    """The listed name that each typed name (both in a column ``name``) means: ``name, listed, edits, score``.
-
-    An inverted index of character trigrams over the forms of the listed names gives the candidates. Their score is
-    the cosine of the trigrams weighted by rarity among the listed names (a trigram unknown there weighs most).
-    Candidates with ``least_score`` are verified: the typed name must lie within one to three edits of the form,
-    by its length. Of two listed names left the one with fewer edits wins, then the one that leads by ``least_margin``
-    in score; without such a lead the typed name means neither. Names that share no trigram with the list, and empty
-    ones, give no row.
+        yield b.loc[[any(within_edits(t, f) for f in fs) for t, fs in zip(b["glued"], b["forms"])], ["name", "listed", "score"]]
+
+
+def match_names(typed: DataFrame, listed: DataFrame, *, least_score: float = 0.45, least_margin: float = 0.12) -> DataFrame:
+    """The listed name that each typed name (both in a column ``name``) means: ``name, listed, score``.
+
+    An inverted index of character trigrams over the forms of the listed names gives the candidates: all that share
+    LEAST_COMMON of the rarity-weighted trigrams. Their score is the cosine of gapped character n-grams weighted by
+    rarity among the listed names (one unknown there weighs most). The best listed name is accepted if it scores
+    ``least_score`` and leads the next one by ``least_margin``. An exact check follows: the typed name must lie within
+    one to three edits, by length, of a form of it. Names that share no trigram with the list, and empty ones, give no
+    row.
     """
     forms = listed.where("name <> ''").select("name").distinct().mapInPandas(_variants, "name string, form string").distinct()
     index = forms.select(F.col("name").alias("listed"), "form", F.explode(_grams("form")).alias("gram"))
-    n = F.lit(float(max(forms.select("name").distinct().count(), 1)))
+    names = max(forms.select("name").distinct().count(), 1)
+    n = F.lit(float(names))
     weights = index.groupBy("gram").agg(F.log(1 + n / F.countDistinct("listed")).alias("w"))
     index = index.join(weights, "gram")
     norms = index.groupBy("listed", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
@@ -155,15 +190,21 @@ def match_names(typed: DataFrame, listed: DataFrame, *, least_score: float = 0.1
     words = typed.where("name <> ''").select("name").distinct().select("name", F.regexp_replace("name", " ", "").alias("glued"))
     grams = words.select("name", "glued", F.explode(_grams("glued")).alias("gram"))
     own = grams.join(weights, "gram", "left").groupBy("name").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", F.log(1 + n)), 2))).alias("own"))
-    scores = grams.join(index, "gram").groupBy("name", "glued", "listed", "form").agg((F.sum(F.col("w") * F.col("w")) / F.first("size")).alias("dot"))
-    scores = scores.join(own, "name").select("name", "glued", "listed", "form", (F.col("dot") / F.col("own")).alias("score"))
-    near = scores.where((F.col("score") >= least_score) & (F.levenshtein("glued", "form", 5) >= 0))
-    near = near.mapInPandas(_verify, "name string, listed string, edits int, score double")
-    near = near.groupBy("name", "listed").agg(F.min("edits").alias("edits"), F.max("score").alias("score"))
-    order = Window.partitionBy("name").orderBy("edits", F.col("score").desc(), "listed")
-    ranked = near.withColumn("k", F.row_number().over(order)).withColumn("rival", F.lead("score").over(order)).withColumn("rival_edits", F.lead("edits").over(order))
-    clear = F.col("rival").isNull() | (F.col("edits") < F.col("rival_edits")) | (F.col("score") - F.col("rival") >= least_margin)
-    return ranked.where((F.col("k") == 1) & clear).select("name", "listed", "edits", "score")
+    met = grams.join(index, "gram").groupBy("name", "glued", "listed", "form").agg((F.sum(F.col("w") * F.col("w")) / F.first("size")).alias("dot"))
+    met = met.join(own, "name").where(F.col("dot") >= LEAST_COMMON * F.col("own")).select("name", "glued", "listed", "form")
+    rare = forms.mapInPandas(_form_pairs, "name string, gram string")
+    by_pair = {r["gram"]: math.log(1 + names / r["n"]) for r in rare.distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # pairs of letters of the alphabet: under a thousand
+    scores = met.mapInPandas(_cosines(by_pair, math.log(1 + names)), "name string, glued string, listed string, form string, score double")
+    best = scores.groupBy("name", "glued", "listed").agg(F.max("score").alias("score"), F.collect_set("form").alias("forms"))  # six forms at most
+    order = Window.partitionBy("name").orderBy(F.col("score").desc(), "listed")
+    ranked = best.withColumn("k", F.row_number().over(order)).where("k <= 2").withColumn("rival", F.lead("score").over(order)).where("k = 1")
+    clear = (F.col("score") >= least_score) & (F.col("score") - F.coalesce("rival", F.lit(0.0)) >= least_margin)
+    return ranked.where(clear).select("name", "glued", "listed", "forms", "score").mapInPandas(_verify, "name string, listed string, score double")
+
+
+def _form_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(n, g) for n, f in zip(b["name"], b["form"]) for g in pairs_of(f)], columns=["name", "gram"])
 
 
 def _initials(name: str) -> list[str]:
@@ -208,6 +249,6 @@ def map_aliases(aliases: DataFrame, series: DataFrame, **parameters) -> DataFram
     """
     rows = aliases.where("alias_id IS NOT NULL").select("alias_id", F.col("alias").alias("value"), "platform")
     mapped = map_to_series(rows, series, **parameters)
-    on = F.expr("a.value <=> m.value AND a.platform <=> m.platform")
-    joined = rows.alias("a").join(mapped.alias("m"), on).select("a.alias_id", "m.series_id")
+    coded = F.to_json(F.array("value", "platform"))  # NULL is a value here
+    joined = lookup_join(rows.select("alias_id", coded.alias("key")), mapped.select(coded.alias("key"), "series_id"), "key", "inner")
     return joined.groupBy("alias_id").agg(F.coalesce(F.min(F.nullif("series_id", F.lit(""))), F.lit("")).alias("series_id"))
