@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from diskloom.functions.strings import consonants, edit_distance, single, sound
 from diskloom.functions.text import plain, says_nothing, split_camel, unleet
-from diskloom.llm.components import connected_groups
+from diskloom.llm.components import connected_groups, string_codes
 from diskloom.session import cut
 
 # Words of a crew's name that do not tell it from others.
@@ -34,7 +33,7 @@ def parse_crew(value: str | None) -> tuple[str, list[str]]:
 
     Forms: ``none`` (says nothing), ``joint`` (two crews), ``full`` (two words), ``glued`` (words run together),
     ``bare`` (words without vowels), ``cut`` (abbreviated words), ``initial`` (a word and an initial), ``one`` (one
-    word).
+    word), ``long`` (more words than three; two crews or one, which only other names can tell).
     """
     if says_nothing(value):
         return "none", []
@@ -55,8 +54,10 @@ def parse_crew(value: str | None) -> tuple[str, list[str]]:
             if len(near) == 1 and (most == 1 or min(len(w) for i, w in enumerate(words) if i != near[0]) > 5):
                 del words[near[0]], dotted[near[0]]
                 break
-    if len(words) > 3 or (len(words) > 2 and re.search(r"\S\s+[-/+&]\s+\S", text)):
+    if len(words) > 2 and re.search(r"\S\s+[-/+&]\s+\S", text):
         return "joint", words
+    if len(words) > 3:
+        return "long", words
     if not words:
         return "none", []
     if len(words) == 1:
@@ -73,14 +74,18 @@ def parse_crew(value: str | None) -> tuple[str, list[str]]:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parsed values with the key of their node: whole names by the sound of their words in order of the alphabet."""
+    """Parsed values with the key of their node: whole names by the sound of their words in order of the alphabet, long ones as typed, and the keys of a long one's halves."""
     for b in batches:
         rows = []
         for v in b["value"]:
             form, words = parse_crew(v)
+            halves: list[str] = []
+            if form == "long":
+                halves = [f"full:{' '.join(sorted(map(sound, h)))}" for h in (words[: len(words) // 2], words[len(words) // 2 :])]
+                form, words = "glued", ["".join(words)]
             key = " ".join(sorted(map(sound, words))) if form in ("full", "glued") else " ".join(words)
-            rows.append((v, form, words, f"{'full' if form == 'glued' else form}:{key}"))
-        yield pd.DataFrame(rows, columns=["value", "form", "words", "node"])
+            rows.append((v, form, words, f"{'full' if form == 'glued' else form}:{key}", halves))
+        yield pd.DataFrame(rows, columns=["value", "form", "words", "node", "halves"])
 
 
 def segments(length: int, pieces: int) -> list[tuple[int, int]]:
@@ -210,40 +215,49 @@ def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _member_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(node, len(m), f"{x}\x1f{y}") for node, m in zip(b["node"], b["members"]) for x, y in combinations(sorted(set(m)), 2)]
-        yield pd.DataFrame(rows, columns=["node", "n", "pair"])
+        for roster, m in zip(b["roster"], b["members"]):
+            m = list(m)
+            for i in range(len(m) - 1):  # a list at a time, so long rosters take no more memory than their length
+                yield pd.DataFrame({"roster": roster, "n": len(m), "pair": [f"{m[i]}\x1f{y}" for y in m[i + 1 :]]})
+
+
+def _rosters(known: DataFrame) -> DataFrame:
+    """``node, roster, members, n``: each name's lists of two members or more, equal lists under one key."""
+    lists = known.select("node", F.array_sort(F.array_distinct("members")).alias("members")).where(F.size("members") >= 2)
+    return lists.select("node", F.concat_ws("\x1f", "members").alias("roster"), "members", F.size("members").alias("n")).distinct()
 
 
 def _shared_members(rosters: DataFrame) -> DataFrame:
-    """Names whose records share two members or more: ``a, b, s`` (how many) and ``n`` (of the shorter list).
+    """Different rosters that share two members or more: ``a, b, s`` (how many) and ``n`` (of the shorter).
 
-    Rosters (``node, members``) meet by pairs of members, which are far rarer than members. ``s`` shared members make
-    s (s - 1) / 2 shared pairs.
+    Rosters meet by pairs of members, which are far rarer than members; equal rosters are one, so the many spellings
+    of a crew with one list do not multiply. ``s`` shared members make s (s - 1) / 2 shared pairs.
     """
-    pairs = rosters.where(F.size("members") >= 2).distinct().mapInPandas(_member_pairs, "node string, n int, pair string")
-    pairs = pairs.groupBy("node", "pair").agg(F.min("n").alias("n"))
-    met = pairs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "pair").join(pairs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "pair"), "pair").where("a < b")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("n_a"), F.min("n_b")).alias("n"))
+    pairs = cut(rosters.select("roster", "members").distinct().mapInPandas(_member_pairs, "roster string, n int, pair string"))
+    met = pairs.select(F.col("roster").alias("a"), F.col("n").alias("n_a"), "pair").join(pairs.select(F.col("roster").alias("b"), F.col("n").alias("n_b"), "pair"), "pair").where("a < b")
+    met = met.groupBy("a", "b", F.least("n_a", "n_b").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
     return met.select("a", "b", "n", F.round((1 + F.sqrt(1 + 8 * F.col("shared"))) / 2).cast("int").alias("s"))
 
 
-def _weak_members(shared: DataFrame, whole: DataFrame, settled: DataFrame) -> DataFrame:
+def _weak_members(rosters: DataFrame, shared: DataFrame, whole: DataFrame, settled: DataFrame) -> DataFrame:
     """``node, grp``: short names that fit no whole name by letters, with the only group that most of their lists of two members are in.
 
     Two lists may share two members by chance, so this decides only for names (not in ``settled``) that nothing else
-    places.
+    places. Names vote by roster, so a roster that very many names have is counted, not multiplied.
     """
-    both = shared.where("s = 2 AND n = 2")
-    ways = both.select(F.col("a").alias("node"), F.col("b").alias("full")).unionByName(both.select(F.col("b").alias("node"), F.col("a").alias("full")))
-    ways = ways.where("node NOT LIKE 'full:%'").join(whole.withColumnRenamed("node", "full"), "full").join(settled, "node", "left_anti")
-    votes = ways.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("v"))
+    both = shared.where("s = 2 AND n = 2").select("a", "b")
+    ways = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(rosters.where("n = 2").select(F.col("roster").alias("a"), F.col("roster").alias("b")).distinct())
+    full = rosters.join(whole, "node").groupBy(F.col("roster").alias("b"), "grp").agg(F.count(F.lit(1)).alias("v"))
+    votes = ways.join(full, "b").groupBy(F.col("a").alias("roster"), "grp").agg(F.sum("v").alias("v"))
+    open_ = rosters.where("node NOT LIKE 'full:%'").join(settled, "node", "left_anti").select("node", "roster")
+    votes = open_.join(votes, "roster").groupBy("node", "grp").agg(F.sum("v").alias("v"))
     top = votes.groupBy("node").agg(F.max("v").alias("v"))
     return votes.join(top, ["node", "v"]).groupBy("node").agg(F.min("grp").alias("grp"), F.max("grp").alias("high")).where("grp = high").select("node", "grp")
 
 
 def _group(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Group of every node under string edges ``a, b``: ``node, grp`` (a node without edges is its own group)."""
-    code = lambda c: F.xxhash64(c)
+    code = string_codes(nodes.select("node").unionByName(edges.select(F.col("a").alias("node"))).unionByName(edges.select(F.col("b").alias("node"))), "node")
     lows = connected_groups(edges.select(code("a").alias("src"), code("b").alias("dst")))
     coded = nodes.select("node", code("node").alias("code"))
     return coded.join(lows.withColumnRenamed("node", "code"), "code", "left").select("node", F.coalesce("lo", "code").alias("grp"))
@@ -258,10 +272,15 @@ def name_groups(values: DataFrame, rosters: DataFrame | None = None) -> DataFram
     fit, if it is the only one. Names whose records (``rosters``: ``value, members``) list the same members are one as
     well; that finds a crew's other names and decides between several fitting groups.
 
-    Values that say nothing or name two entities together have no row. NULL and repeated values, and empty tables,
+    A name of more than three words is one entity, unless both its halves are known as whole names themselves. Values
+    that say nothing or name two entities together have no row. NULL and repeated values, and empty tables,
     change nothing.
     """
-    parsed = cut(values.where("value IS NOT NULL").select("value").distinct().mapInPandas(_parse, "value string, form string, words array<string>, node string").where("form NOT IN ('none', 'joint')"))
+    parsed = cut(values.where("value IS NOT NULL").select("value").distinct().mapInPandas(_parse, "value string, form string, words array<string>, node string, halves array<string>").where("form NOT IN ('none', 'joint')"))
+    halves = parsed.where(F.size("halves") > 0).select("value", F.explode("halves").alias("node"))
+    if not halves.isEmpty():  # a long name whose halves are both known as crews names two
+        two = halves.join(parsed.where("form = 'full'").select("node").distinct(), "node", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        parsed = cut(parsed.join(two, "value", "left_anti"))
     nodes = parsed.select("node").distinct()
     whole = nodes.where("node LIKE 'full:%'")
     first = cut(_group(_whole_edges(nodes), whole))
@@ -276,10 +295,15 @@ def name_groups(values: DataFrame, rosters: DataFrame | None = None) -> DataFram
     edges = lexical.select(F.col("node").alias("a"), as_node("grp").alias("b")).unionByName(first.select(F.col("node").alias("a"), as_node("grp").alias("b")))
     if rosters is not None:
         known = rosters.where("value IS NOT NULL").join(parsed.select("value", "node"), "value").select("node", "members")
-        shared = cut(_shared_members(known))
-        strong = shared.where((F.col("s") >= SHARED_MEMBERS) & (F.col("s") >= SHARED_SHARE * F.col("n"))).select("a", "b")
-        settled = lexical.select("node").unionByName(strong.select(F.col("a").alias("node"))).unionByName(strong.select(F.col("b").alias("node"))).distinct()
-        edges = edges.unionByName(strong).unionByName(_weak_members(shared, first, settled).select(F.col("node").alias("a"), as_node("grp").alias("b")))
+        rosters = cut(_rosters(known))
+        shared = cut(_shared_members(rosters))
+        alike = shared.where((F.col("s") >= SHARED_MEMBERS) & (F.col("s") >= SHARED_SHARE * F.col("n"))).select("a", "b")
+        as_roster = lambda c: F.concat(F.lit("@"), F.col(c))
+        strong = rosters.where(F.col("n") >= SHARED_MEMBERS)
+        several = strong.groupBy("roster").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("roster").unionByName(alike.select(F.col("a").alias("roster"))).unionByName(alike.select(F.col("b").alias("roster"))).distinct()
+        settled = lexical.select("node").unionByName(strong.join(several, "roster", "left_semi").select("node")).distinct()
+        edges = edges.unionByName(strong.select(F.col("node").alias("a"), as_roster("roster").alias("b"))).unionByName(alike.select(as_roster("a").alias("a"), as_roster("b").alias("b")))
+        edges = edges.unionByName(_weak_members(rosters, shared, first, settled).select(F.col("node").alias("a"), as_node("grp").alias("b")))
     final = _group(edges, nodes)
     return parsed.join(final, "node").select("value", "grp")
 

@@ -105,6 +105,26 @@ def test_survivors(spark):
     assert survivors(spark, [], batches) == set()
 
 
+def test_names_of_four_words(spark):
+    long = ["Zorb Kelvak Munti Dralo", "zorb kelvak muntti dralo", "ZorbKelvakMuntiDralo"]
+    assert pairs(spark, long) == {(a, b) for a in long for b in long if a.encode() < b.encode()}
+    crews = ["Glumfepig Guzfifep", "Skrodipak Blumfezor", "Glumfepig Guzfifep Skrodipak Blumfezor", "Glumfepig Guzfifep Skrodipak Blumfezr"]
+    assert pairs(spark, crews[:3]) == set()  # two crews, by evidence
+
+
+def test_short_strings_meet(spark):
+    df = spark.createDataFrame([("a", "abc"), ("b", "abd"), ("c", "xyz"), ("d", "abcd"), ("e", "a")], "node string, text string")
+    got = {tuple(sorted((r.node, r.other))) for r in names.near_strings(df, df, 3).collect()}
+    assert {("a", "b"), ("a", "d")} <= got and ("a", "c") not in got
+
+
+def test_one_roster_of_very_many_names(spark):
+    words = [f"{a}{b}" for a in ("bra", "cri", "dro", "flu") for b in ("zopik", "mudev", "nigat", "xulef", "wobim")]
+    values = [f"{x} {y[::-1]}" for x in words for y in words if x != y][:120]
+    got = pairs(spark, values, [(v, ["m1", "m2", "m3"]) for v in values])
+    assert len(got) == 120 * 119 // 2
+
+
 def test_large_group_and_consensus(spark):
     rows = [(1, i, f"Name {i} Soft", "x", "a", "") for i in range(400, 0, -1)]
     assert survivors(spark, rows, [("a", 1, None)]) == {(1, "publisher", 1), (1, "cracker", 1)}
