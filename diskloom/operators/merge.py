@@ -26,16 +26,45 @@ RECORDS = (
 )
 
 
-def label_groups(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+#: So many edges are settled by one task; more go through rounds.
+TASK_EDGES = 2_000_000
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of the edges of one task: each node with the smallest it is connected to there."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist()):
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 100_000):
+        yield pd.DataFrame([(root(x), x) for x in nodes[i : i + 100_000]], columns=["a", "b"])
+
+
+def label_groups(edges: DataFrame, most_rounds: int = 40, *, task_edges: int = TASK_EDGES) -> DataFrame:
     """``node, label``: each node of ``edges`` (bigint ``a``, ``b``) with the smallest node it is connected to.
 
-    Alternates two steps until nothing changes: every node passes its smallest neighbour to its larger neighbours, then
+    Up to ``task_edges`` edges are settled by one task. More are first reduced by each task to a forest of stars, then
+    two steps alternate until no pair changes: every node passes its smallest neighbour to its larger neighbours, then
     to its smaller ones. Chains halve with each round. Hot nodes are joined as ``lookup_join`` does; rounds are cut by
     checkpoints.
     """
     given = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs, alone = given.where("a < b"), given.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    known = None
+    if given.count() <= task_edges:
+        return given.coalesce(1).mapInPandas(_settle, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("label"))
+    alone = given.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
+    pairs = cut(given.where("a < b").mapInPandas(_settle, "a long, b long").where("a < b").distinct())
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -43,11 +72,9 @@ def label_groups(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         least = large.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("m"))
         small = lookup_join(large.select(F.col("b").alias("k"), "a"), least, "k", "inner")
         out = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), F.col("k").alias("b"))).where("a < b").distinct()
-        pairs = cut(out)
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == known:
+        before, pairs = pairs, cut(out)
+        if pairs.count() == before.count() and pairs.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        known = state
     else:
         raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
     labels = pairs.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
@@ -222,8 +249,9 @@ def merge_records(records: DataFrame) -> DataFrame:
         .unionByName(hashes.join(shared, "k", "left_anti").select("record_id", F.concat(F.lit("hash:"), "k").alias("k")))
         .unionByName(rows.select("record_id", F.explode(F.array_distinct("urls")).alias("k")).select("record_id", F.concat(F.lit("url:"), "k").alias("k")))
     )
+    links = cut(links)
     firsts = links.groupBy("k").agg(F.min("record_id").alias("a"))
-    edges = links.join(firsts, "k").select("a", F.col("record_id").alias("b"))
+    edges = lookup_join(links, firsts, "k", "inner").select("a", F.col("record_id").alias("b"))
     labels = label_groups(edges)
     owners = hashes.join(shared, "k").groupBy("record_id").agg(F.collect_set(F.array("k", "owner")).alias("owners"))
     grouped = rows.join(labels.select(F.col("node").alias("record_id"), "label"), "record_id", "left").withColumn("label", F.coalesce("label", "record_id")).join(owners, "record_id", "left")

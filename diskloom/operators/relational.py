@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diskloom.functions import names as N
+from diskloom.operators.skew import lookup_join
+from diskloom.session import cut
 
 
 def present(c: Column) -> Column:
@@ -107,25 +109,36 @@ def match_in_order(probes: DataFrame, probe_id: str, targets: DataFrame, attempt
     return best.select(F.col("_p").alias(probe_id), F.col("h.t").alias(target_id), F.col("h.attempt").alias("attempt"))
 
 
-def nearest_in_time(probes: DataFrame, targets: DataFrame, keys: Sequence[str], probe_time: str, target_time: str, target_order: Sequence[str]) -> DataFrame:
+#: So many targets in all are sent to every task; more of them meet the probes in sorted windows.
+FEW_TARGETS = 1000
+
+
+def nearest_in_time(probes: DataFrame, targets: DataFrame, keys: Sequence[str], probe_time: str, target_time: str, target_order: Sequence[str], *, few: int = FEW_TARGETS) -> DataFrame:
     """Each probe with the target of its keys that is nearest in time; of two as near the earlier, then by ``target_order``.
 
-    For each probe only the last target before and the first one after it can be nearest. Both come from one sorted
-    pass over the union of probes and targets by key, so no probe is paired with all targets. Probes without a time or
-    a target have no row.
+    Up to ``few`` targets (counted first) are broadcast as one list for each key, so no key is sent to one task. Of
+    more, only the last target before a probe and the first one after it can be nearest: both come from running
+    windows over the union of probes and targets, one up and one down in time, so no probe is paired with all targets.
+    Probes without a time or a target have no row.
     """
     t_cols = [c for c in targets.columns if c not in keys]
     p_cols = [c for c in probes.columns if c not in keys]
     packed = F.struct(*(F.col(c) for c in t_cols))
-    left = probes.where(F.col(probe_time).isNotNull()).select(*keys, F.struct(*p_cols).alias("_p"), F.lit(None).cast(targets.select(packed.alias("x")).schema["x"].dataType).alias("_t"), F.col(probe_time).cast("timestamp").alias("_at"))
+    timed = probes.where(F.col(probe_time).isNotNull())
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     w = Window.partitionBy(*keys, target_time).orderBy(*target_order)
     firsts = targets.where(F.col(target_time).isNotNull()).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    if targets.limit(few + 1).count() <= few:
+        lists = firsts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(micros(F.col(target_time)).alias("_at"), packed.alias("_t")))).alias("_l"))
+        near = F.array_min(F.transform("_l", lambda x: F.struct(F.abs(x["_at"] - micros(F.col(probe_time))).alias("_gap"), x["_at"].alias("_at"), x["_t"].alias("_t"))))
+        found = timed.join(F.broadcast(lists), list(keys)).withColumn("_n", near["_t"])
+        return found.select(*keys, *p_cols, *(F.col("_n")[c].alias(f"nearest_{c}") for c in t_cols))
+    left = timed.select(*keys, F.struct(*p_cols).alias("_p"), F.lit(None).cast(targets.select(packed.alias("x")).schema["x"].dataType).alias("_t"), F.col(probe_time).cast("timestamp").alias("_at"))
     right = firsts.select(*keys, F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), packed.alias("_t"), F.col(target_time).cast("timestamp").alias("_at"))
-    order = Window.partitionBy(*keys).orderBy("_at", F.col("_p").isNotNull())
+    run = lambda *order: Window.partitionBy(*keys).orderBy(*order, F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right)
-    both = both.withColumn("_before", F.last("_t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_t", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    gap = lambda c: F.abs(F.unix_micros(F.col("_at")) - F.unix_micros(F.col(c)[target_time].cast("timestamp")))
+    both = both.withColumn("_before", F.last("_t", ignorenulls=True).over(run("_at"))).withColumn("_after", F.last("_t", ignorenulls=True).over(run(F.col("_at").desc())))
+    gap = lambda c: F.abs(F.unix_micros(F.col("_at")) - micros(F.col(c)[target_time]))
     pick = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
     found = both.where("_p IS NOT NULL").withColumn("_n", pick).where("_n IS NOT NULL")
     return found.select(*keys, "_p.*", *(F.col("_n")[c].alias(f"nearest_{c}") for c in t_cols))
@@ -174,12 +187,15 @@ def fuzzy_titles(probes: DataFrame, titles: DataFrame, group: str) -> DataFrame:
 
 
 def shared_prefixes(addresses: DataFrame, column: str, least: int = 50) -> DataFrame:
-    """Each different address with its longest beginning, up to a "/", that ``least`` different addresses share ('' if none), and the rest."""
-    urls = addresses.where(F.col(column).isNotNull()).select(F.col(column).alias("address")).distinct()
+    """Each different address with its longest beginning, up to a "/", that ``least`` different addresses share ('' if none), and the rest.
+
+    Every address has the root among its beginnings; such hot beginnings meet a broadcast (``lookup_join``).
+    """
+    urls = cut(addresses.where(F.col(column).isNotNull()).select(F.col(column).alias("address")).distinct())
     cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("address"), F.lit(1))), lambda i: F.substring(F.col("address"), i, 1) == "/")
     heads = urls.select("address", F.explode(F.transform(cuts, lambda i: F.substring(F.col("address"), 1, i))).alias("prefix"))
     common = heads.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    best = heads.join(common.select("prefix"), "prefix").groupBy("address").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    best = lookup_join(heads, common.select("prefix"), "prefix", "inner").groupBy("address").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     out = urls.join(best, "address", "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
     return out.withColumn("rest", F.expr("substring(address, length(prefix) + 1)"))
 

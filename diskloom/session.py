@@ -16,12 +16,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
     The folder that the cluster names in ``spark.checkpoint.dir`` is shared by all executors and is used when
-    given. Only where it is unset (tests, local mode) a temporary folder is taken.
+    given. Only in local mode a temporary folder stands in for it; on a cluster its absence is an error, as a folder of
+    one machine is lost with it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="diskloom-checkpoint-"))
 
 

@@ -81,6 +81,7 @@ def test_groups_equal_the_whole_sequence(spark, seed):
 def test_labels(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (200, 200)]
     got = dict(map(tuple, label_groups(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert dict(map(tuple, label_groups(spark.createDataFrame(edges, "a long, b long").repartition(5), task_edges=0).collect())) == got
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100, 200: 200}
     assert label_groups(spark.createDataFrame([], "a long, b long")).count() == 0
 

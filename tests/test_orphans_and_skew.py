@@ -52,6 +52,13 @@ def test_hot_keys_change_nothing(spark):
     assert found(spark, child, disks)[1] == want == found(spark, child, disks, hot_rows=50)[1]
 
 
+def test_a_third_of_all_rows_under_one_key_that_holds(spark):
+    child = [(i, 1 if i % 3 == 0 else 1000 + i, None, T) for i in range(900)]
+    disks = [(1, D(2020, 1, 1), None)] + [(1000 + i, D(2020, 1, 1), None) for i in range(0, 900, 2)]
+    plain, split = found(spark, child, disks)[1], found(spark, child, disks, hot_rows=100)[1]
+    assert plain == split == {(i, "disks", "2020-05", "missing") for i in range(900) if i % 3 and i % 2}
+
+
 def test_lookup_join(spark):
     left = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)] + [(999, None)], "i long, k long")
     right = spark.createDataFrame([(k, k * 2) for k in range(0, 300, 3)] + [(1, 2)], "k long, v long")

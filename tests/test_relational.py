@@ -42,6 +42,7 @@ def test_nearest_in_time(spark):
     probes = spark.createDataFrame([("a", 1, t(5)), ("a", 2, t(1)), ("a", 3, t(30)), ("a", 4, None), ("b", 5, t(5)), ("a", 6, t(4))], "k string, p int, at timestamp")
     targets = spark.createDataFrame([("a", "x", t(3)), ("a", "w", t(3)), ("a", "y", t(7)), ("a", "n", None), ("c", "z", t(5))], "k string, t string, on timestamp")
     got = R.nearest_in_time(probes, targets, ["k"], "at", "on", ["t"])
+    assert sorted(map(tuple, R.nearest_in_time(probes, targets, ["k"], "at", "on", ["t"], few=0).collect())) == sorted(map(tuple, got.collect()))
     assert {(r.p, r.nearest_t) for r in got.collect()} == {(1, "w"), (2, "w"), (3, "y"), (6, "w")}
 
 
