@@ -215,7 +215,7 @@ def format_label(template: Column, name: Column, number: Column, part: Column, v
 def akas(c: Column) -> Column:
     """Other titles from a remark such as "aka First; Second"."""
     listed = F.regexp_extract(c, r"(?i)(?:^|\s)aka\s+(.+)$", 1)
-    return F.filter(F.transform(F.split(listed, r"\s*;\s*"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(listed, r"\s*;\s*"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def distinct_words(c: Column) -> Column:
@@ -236,7 +236,7 @@ PARTIAL_DATE = r"^\s*(\d{4})(?:-(\d{1,2}|[xX?]{2})(?:-(\d{1,2}|[xX?]{2}))?)?(?!\
 def split_combined(c: Column) -> Column:
     """The titles of a combined entry "A (1990)(X) & B (1991)(Z)"; a plain name as a single one."""
     parts = F.split(F.trim(c), COMBINED)
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda p: p != "")
 
 
 def dump_flags(c: Column) -> Column:

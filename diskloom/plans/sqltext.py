@@ -86,3 +86,42 @@ def title_words(x: str) -> str:
     figures = f"list_distinct(list_transform({words(normalise(f'({display_title(x)})'))}, lambda w: CASE w {numerals} ELSE w END))"
     telling = f"list_filter({figures}, lambda w: w NOT IN ('the', 'a', 'an', 'and', 'of'))"
     return f"CASE WHEN len({telling}) > 0 THEN {telling} ELSE {figures} END"
+
+
+_SIGN = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}_]"
+_NUMERALS = dict(zip("ii iii iv vi vii viii ix xi xii xiii xiv xv xvi".split(), "2 3 4 6 7 8 9 11 12 13 14 15 16".split()))
+
+
+def tokens(x: str) -> str:
+    """As ``names.tokens``, joined by blanks."""
+    parted = "regexp_replace(regexp_replace(w, '^(\\p{L}+)(\\p{Nd}+)(\\p{L}?)$', '\\1 \\2 \\3'), '^(\\p{Nd}+)(\\p{L})$', '\\1 \\2')"
+    return f"coalesce(list_aggregate(list_transform({words(normalise(x))}, lambda w: trim({parted})), 'string_agg', ' '), '')"
+
+
+def search_text(x: str) -> str:
+    """As ``names.search_text``."""
+    joined = f"list_aggregate(list_transform(regexp_extract_all({x}, '{_SIGN}+(?:[-.''/]{_SIGN}+)+'), lambda w: regexp_replace(w, '[-.''/]', '', 'g')), 'string_agg', ' ')"
+    return f"trim(concat_ws(' ', {normalise(x)}, {normalise(f'coalesce({joined}, {quoted(str())})')}))"
+
+
+def title_search_words(x: str) -> str:
+    """The words of ``names.title_search_text`` in order of the alphabet."""
+    base, own = words(search_text(x)), words(normalise(x))
+    swap = " ".join(f"WHEN '{a}' THEN '{b}' WHEN '{b}' THEN '{a}'" for a, b in _NUMERALS.items())
+    other = f"list_filter(list_transform({own}, lambda w: CASE w {swap} END), lambda w: w IS NOT NULL)"
+    pairs = f"list_filter(list_transform(range(1, greatest(len({own}), 1)), lambda i: ({own})[i] || ({own})[i + 1]), lambda w: NOT regexp_full_match(w, '\\p{{Nd}}+'))"
+    extra = f"list_filter(list_distinct(list_concat({other}, {pairs})), lambda w: NOT list_contains({base}, w))"
+    return f"CASE WHEN {x} IS NOT NULL THEN coalesce(list_aggregate(list_sort(list_concat({base}, {extra})), 'string_agg', ' '), '') ELSE '' END"
+
+
+def label(template: str, name: str, number: str, part: str, version: str) -> str:
+    """As ``assembly.disc_label`` over a disc's title."""
+    part, version = f"coalesce({part}, '')", f"coalesce({version}, '')"
+    n = f"{number}::VARCHAR"
+    spaced = lambda v: f"CASE WHEN {v} <> '' THEN ' ' || {v} ELSE '' END"
+    filled = template
+    for slot, value in (("{name}", name), ("{number}", n), ("{number3}", f"lpad({n}, greatest(3, length({n}))::INTEGER, '0')"), ("{part}", part), ("{part_suffix}", spaced(part)), ("{version}", version), ("{version_suffix}", spaced(version))):
+        filled = f"replace({filled}, '{slot}', coalesce({value}, ''))"
+    title = "coalesce(d.title, '')"
+    plain = f"CASE WHEN {part} <> '' AND NOT contains(upper({title}), upper({part})) THEN concat_ws(' ', nullif({title}, ''), {part}) ELSE {title} END"
+    return f"coalesce(CASE WHEN {number} IS NOT NULL AND {name} <> '' THEN trim({filled}) END, nullif({plain}, ''), 'Untitled disk')"
