@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diskloom.plans.catalogue import layout_problem
+from diskloom.plans.catalogue import layout_problem, set_current
+from diskloom.sources.filesystem import Store
 
 
 @dataclass(frozen=True)
@@ -117,9 +118,7 @@ def install(package: str, folder: str, most_bytes: int = 4 << 30) -> str:
         raise ValueError(f"the snapshot cannot be installed: {problem}")
     shutil.rmtree(path, ignore_errors=True)
     os.rename(part, path)
-    with open(os.path.join(folder, "current.part"), "w") as f:
-        f.write(os.path.basename(path))
-    os.replace(os.path.join(folder, "current.part"), os.path.join(folder, "current"))
+    set_current(Store(folder), folder, path)
     return path
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from diskloom.functions import names as N
 from diskloom.operators.textindex import build_postings
+from diskloom.sources.filesystem import Store
 
 #: Layout of a snapshot; a reader refuses any other.
 LAYOUT = 1
@@ -20,6 +20,9 @@ ENTRY_WEIGHTS = {"title": 10.0, "disk": 5.0, "crew": 4.0, "people": 2.0, "facets
 DISK_WEIGHTS = {"label": 10.0, "series": 6.0, "contents": 8.0, "people": 3.0, "notes": 1.0, "crew": 5.0, "facets": 2.0, "files": 1.0}
 
 
+_TABLES = ("disks", "contents", "images", "locations", "series", "series_alias", "entries", "entry_postings", "disk_postings", "disk_text")
+
+
 @dataclass(frozen=True)
 class Catalogue:
     """A snapshot as DataFrames. ``entries`` has a row for each shown title, or for the disc itself if it lists none."""
@@ -137,35 +140,47 @@ _TABLES = list(Catalogue.__dataclass_fields__)
 def write_snapshot(catalogue: Catalogue, folder: str, meta: dict[str, str]) -> str:
     """Write a new version under ``folder`` and make it the current one; returns its path.
 
-    Tables go to a folder of their own that is renamed when all are complete, then the pointer file is replaced, so a
-    reader sees the old version or the new one, never a part. Postings are sorted by token, so that word predicates
-    skip row groups.
+    ``folder`` may be on any file system that Spark reaches. Tables go to a folder of their own that is renamed when
+    all are complete, then the pointer file is replaced, so a reader sees the old version or the new one, never a part.
+    Postings are sorted by token, so that word predicates skip row groups.
     """
-    path = os.path.join(folder, f"version-{uuid.uuid4().hex}")
+    store = Store(folder, catalogue.disks.sparkSession)
+    path = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
     for name in _TABLES:
         df: DataFrame = getattr(catalogue, name)
         if name.endswith("postings"):
             df = df.repartitionByRange("token").sortWithinPartitions("token", "id")
         df.write.mode("error").parquet(f"{path}.part/{name}")
-    with open(f"{path}.part/meta.json", "w") as f:
-        json.dump({"layout": LAYOUT, **meta}, f)
-    os.rename(f"{path}.part", path)
-    with open(os.path.join(folder, "current.part"), "w") as f:
-        f.write(os.path.basename(path))
-    os.replace(os.path.join(folder, "current.part"), os.path.join(folder, "current"))
+    store.write_text(f"{path}.part/meta.json", json.dumps({"layout": LAYOUT, **meta}))
+    store.rename(f"{path}.part", path)
+    set_current(store, folder, path)
     return path
 
 
+def set_current(store: Store, folder: str, path: str) -> None:
+    """Make a version the current one of its folder: the pointer file is written beside and renamed."""
+    folder = folder.rstrip("/")
+    store.write_text(f"{folder}/current.part", path.rsplit("/", 1)[-1])
+    store.rename(f"{folder}/current.part", f"{folder}/current")
+
+
+def _meta(path: str) -> dict:
+    store = Store(path)
+    return json.loads(store.read_text(f"{path}/meta.json")) if store.exists(f"{path}/meta.json") else {}
+
+
 def layout_problem(path: str) -> str:
     """Why a snapshot cannot be read, '' if it can."""
     try:
-        with open(os.path.join(path, "meta.json")) as f:
-            layout = json.load(f).get("layout")
-    except (OSError, ValueError):
+        layout = _meta(path).get("layout")
+    except ValueError:
+        layout = None
+    if layout is None:
         return "it has no readable description"
     if layout != LAYOUT:
         return f"its layout is {layout}, this reader's is {LAYOUT}"
-    missing = [t for t in _TABLES if not os.path.isdir(os.path.join(path, t))]
+    store = Store(path)
+    missing = [t for t in _TABLES if not store.is_folder(f"{path}/{t}")]
     return f"it lacks {', '.join(missing)}" if missing else ""
 
 
@@ -174,8 +189,7 @@ def locate_snapshot(candidates: list[str]) -> str | None:
     best, newest = None, ""
     for path in candidates:
         if not layout_problem(path):
-            with open(os.path.join(path, "meta.json")) as f:
-                built = json.load(f).get("built_at", "")
+            built = _meta(path).get("built_at", "")
             if best is None or built > newest:
                 best, newest = path, built
     return best
@@ -183,10 +197,9 @@ def locate_snapshot(candidates: list[str]) -> str | None:
 
 def open_snapshot(spark: SparkSession, path: str) -> Catalogue:
     """The tables of a snapshot, or of the current version of a folder of versions."""
-    pointer = os.path.join(path, "current")
-    if os.path.exists(pointer):
-        with open(pointer) as f:
-            path = os.path.join(path, f.read().strip())
+    store, path = Store(path, spark), path.rstrip("/")
+    if store.exists(f"{path}/current"):
+        path = f"{path}/{store.read_text(f'{path}/current').strip()}"
     if problem := layout_problem(path):
         raise ValueError(f"snapshot {path} cannot be read: {problem}")
-    return Catalogue(**{name: spark.read.parquet(os.path.join(path, name)) for name in _TABLES})
+    return Catalogue(**{name: spark.read.parquet(f"{path}/{name}") for name in _TABLES})

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diskloom.functions import names as N
 from diskloom.operators.merge import merge_records, place_locations, resolve_crews
-from diskloom.plans.catalogue import Catalogue, build_catalogue, number_discs
+from diskloom.plans.catalogue import Catalogue, build_catalogue, number_discs, open_snapshot, write_snapshot
 from diskloom.plans import sqltext as T
-from diskloom.plans.find import Query, facets, search
-from diskloom.session import cut, table
+from diskloom.plans.find import SORTS, Query, facets, search
+from diskloom.session import ensure_checkpoint_dir, table
+from diskloom.sources.filesystem import Store
 
 Q = {}
 SQL = {}
@@ -44,18 +45,91 @@ def catalogue_of(spark: SparkSession, d: str) -> Catalogue:
     return build_catalogue(disks, contents, images, locations, series, series.select(F.col("name").alias("alias"), F.col("id").alias("series_id")))
 
 
-@query()
+def snapshot_of(spark: SparkSession, d: str) -> Catalogue:
+    """The catalogue of a folder of tables as a written snapshot, built again only when a file of its tables changed.
+
+    It lies in the shared folder of checkpoints, so searches read sorted postings and skip those of other words.
+    """
+    ensure_checkpoint_dir(spark)
+    store = Store(d, spark)
+    stamps = [store.stamp(f"{d}/{t}.parquet") for t in ("disks", "images", "series_defs")]
+    folder = f"{spark.sparkContext.getCheckpointDir()}/catalogue-{hashlib.sha1(repr(stamps).encode()).hexdigest()}"
+    if not Store(folder, spark).exists(f"{folder}/current"):
+        write_snapshot(catalogue_of(spark, d), folder, {"built_at": ""})
+    return open_snapshot(spark, folder)
+
+
+# SQL of the rows that a search shows: of titles (e) and of discs (d), with what they are sorted and found by.
+_YEAR = "CASE WHEN try_cast(regexp_extract(date_text, '^\\s*(\\d{4})(?:[^\\d]|$)', 1) AS INTEGER) BETWEEN 1950 AND 2100 THEN try_cast(regexp_extract(date_text, '^\\s*(\\d{4})(?:[^\\d]|$)', 1) AS INTEGER) END"
+_MONTH = f"CASE WHEN {_YEAR} IS NOT NULL AND try_cast(regexp_extract(date_text, '^\\s*\\d{{4}}-(\\d{{1,2}})(?:[^\\d]|$)', 1) AS INTEGER) BETWEEN 1 AND 12 THEN try_cast(regexp_extract(date_text, '^\\s*\\d{{4}}-(\\d{{1,2}})(?:[^\\d]|$)', 1) AS INTEGER) END"
+_ROWS = f"""
+    d AS (SELECT id, coalesce(title, '') AS title, label, coalesce(series_id, '') AS series_id, platform, kind, CASE WHEN kind = 'pack' THEN 'Demos' ELSE 'Games' END AS category, coalesce(publisher, '') AS crew, coalesce(release_year, {_YEAR}) AS year, {_MONTH} AS month, {T.sort_title('label')} AS sort FROM disks),
+    e AS (SELECT id * 1048576 + CASE WHEN title <> '' THEN 1 ELSE 0 END AS id, id AS disk_id, CASE WHEN title <> '' THEN id END AS content_id, CASE WHEN title <> '' THEN {T.display_title('title')} ELSE label END AS shown, CASE WHEN title <> '' THEN 'game' ELSE kind END AS content_kind, kind, platform, crew, year FROM d),
+    es AS (SELECT *, {T.sort_title('shown')} AS sort FROM e)"""
+_NOCASE = "translate(crew, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ORDERS = {
+    "relevance": "id", "title": "sort, id", "title-desc": "sort DESC, id DESC", "year": "year NULLS LAST, sort, id", "year-desc": "year DESC NULLS LAST, sort, id",
+    "crew": f"{_NOCASE}, crew, id", "platform": "platform, sort, id", "disc": "id",
+}
+# SQL of the words that each index field of a row holds.
+_TEXTS = f"""
+    n AS (SELECT disk_id, string_agg(DISTINCT w, ' ') AS words FROM (SELECT disk_id, unnest(string_split({T.file_words('name')}, ' ')) AS w FROM images WHERE disk_id IS NOT NULL) WHERE w <> '' GROUP BY disk_id),
+    s AS (SELECT id AS series_id, {T.title_search_words('name')} AS series FROM series_defs),
+    x AS (SELECT d.id AS disk_id, {T.title_search_words("trim(concat_ws(' ', label, title))")} AS disk, coalesce(s.series, '') AS series, {T.search_text('crew')} AS crew_words,
+                 list_distinct(list_concat({T.words(T.search_text("concat_ws(' ', platform, kind, category)"))}, {T.words("concat_ws(' ', year::VARCHAR, lpad(month::VARCHAR, 2, '0'))")})) AS facets, coalesce(n.words, '') AS files
+          FROM d LEFT JOIN s USING (series_id) LEFT JOIN n ON n.disk_id = d.id)"""
+
+
+@query(f"""
+    WITH {_ROWS}, {_TEXTS},
+    f AS (SELECT es.*, {T.words(T.title_search_words('shown'))} AS ft, {T.words("x.disk || ' ' || x.series")} AS fd, {T.words('x.crew_words')} AS fc, list_distinct({T.words('x.crew_words')}) AS fp,
+                 list_distinct(list_concat(x.facets, {T.words(T.search_text('content_kind'))})) AS ff, {T.words('x.files')} AS fi FROM es JOIN x USING (disk_id)),
+    l AS (SELECT *, len(ft) + len(fd) + len(fc) + len(fp) + len(ff) + len(fi) AS len, {" + ".join(f"{w}.0 * len(list_filter({c}, lambda t: starts_with(t, 'menu')))" for c, w in (("ft", 10), ("fd", 5), ("fc", 4), ("fp", 2), ("ff", 2), ("fi", 1)))} AS f FROM f),
+    g AS (SELECT count(*) AS n_rows, count(*) FILTER (f > 0) AS n, sum(len) / count(*) AS mean FROM l),
+    r AS (SELECT l.*, CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM l, g WHERE f > 0)
+    SELECT disk_id, content_id, shown AS title, content_kind, round(score, 6) AS score FROM r
+    ORDER BY CASE WHEN sort = 'menu' THEN 0 WHEN starts_with(sort, 'menu ') THEN 1 ELSE 2 END, round(score, 9) DESC, id LIMIT 100""")
 def find_titles_page(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred titles for a word, ranked."""
-    cat = catalogue_of(spark, d)
-    return search(replace(cat, entries=cut(cat.entries), entry_postings=cut(cat.entry_postings)), Query("menu")).rows
+    """The first hundred titles for a word, ranked by bm25."""
+    rows = search(snapshot_of(spark, d), Query("menu")).rows
+    return rows.select("disk_id", "content_id", "title", "content_kind", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+    WITH {_ROWS}, {_TEXTS},
+    f AS (SELECT d.*, ' ' || concat_ws(' ', x.disk, x.series, {T.normalise("d.title")}, x.crew_words, list_aggregate(x.facets, 'string_agg', ' '), x.files) AS words FROM d JOIN x ON x.disk_id = d.id WHERE platform = 'amiga')
+    SELECT id AS disk_id, NULL::BIGINT AS content_id, CASE WHEN title <> '' AND regexp_matches(' ' || {T.title_search_words('title')}, ' (menu|disk)') THEN title ELSE '' END AS matched FROM f
+    WHERE contains(words, ' menu') AND contains(words, ' disk') ORDER BY year DESC NULLS LAST, sort, id LIMIT 50""")
 def find_discs_page(spark: SparkSession, d: str) -> DataFrame:
-    """A filtered page of discs for two words in a deterministic order."""
-    cat = catalogue_of(spark, d)
-    return search(replace(cat, entries=cut(cat.entries), disk_postings=cut(cat.disk_postings)), Query("menu disk", platform="amiga", mode="discs", sort="year-desc", page_size=50)).rows
+    """A filtered page of discs for two words in a deterministic order, with the titles that a word matches."""
+    rows = search(snapshot_of(spark, d), Query("menu disk", platform="amiga", mode="discs", sort="year-desc", page_size=50)).rows
+    return rows.select("disk_id", "content_id", F.array_join("matched", "|").alias("matched"))
+
+
+@query(f"WITH {_ROWS} " + " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, '{sort}' AS sort, {key} AS disk_id, {shown} AS title, place FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM {rows} WHERE platform = 'amiga') WHERE place > 25 AND place <= 50"
+    for mode, rows, key, shown in (("titles", "es", "disk_id", "shown"), ("discs", "d", "id", "''")) for sort, order in _ORDERS.items()))
+def pages_in_every_order(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of discs of one platform in each of the eight orders of both modes."""
+    cat = snapshot_of(spark, d)
+    out = None
+    for mode in ("titles", "discs"):
+        for sort in SORTS:
+            rows = search(cat, Query(platform="amiga", mode=mode, sort=sort, page=1, page_size=25)).rows
+            rows = rows.select(F.lit(mode).alias("mode"), F.lit(sort).alias("sort"), "disk_id", "title")
+            rows = rows.withColumn("place", F.monotonically_increasing_id())  # a page is sorted in one partition
+            out = rows if out is None else out.unionByName(rows)
+    place = F.row_number().over(Window.partitionBy("mode", "sort").orderBy("place")) + 25
+    return out.withColumn("place", place.cast("long"))
+
+
+@query(f"""
+    WITH {_ROWS}, {_TEXTS},
+    f AS (SELECT es.*, ' ' || concat_ws(' ', {T.title_search_words('shown')}, x.disk, x.series, x.crew_words, list_aggregate(x.facets, 'string_agg', ' '), {T.normalise('content_kind')}, x.files) AS words FROM es JOIN x USING (disk_id))
+    SELECT disk_id, content_id, shown AS title, content_kind FROM f WHERE contains(words, ' ci') AND year = 1990 ORDER BY sort DESC, id DESC LIMIT 50""")
+def find_titles_of_a_year(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of one year that hold the beginning of a word, from the end of the alphabet."""
+    return search(snapshot_of(spark, d), Query("ci", year=1990, sort="title-desc", page_size=50)).rows.select("disk_id", "content_id", "title", "content_kind")
 
 
 @query("""

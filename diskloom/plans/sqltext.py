@@ -125,3 +125,8 @@ def label(template: str, name: str, number: str, part: str, version: str) -> str
     title = "coalesce(d.title, '')"
     plain = f"CASE WHEN {part} <> '' AND NOT contains(upper({title}), upper({part})) THEN concat_ws(' ', nullif({title}, ''), {part}) ELSE {title} END"
     return f"coalesce(CASE WHEN {number} IS NOT NULL AND {name} <> '' THEN trim({filled}) END, nullif({plain}, ''), 'Untitled disk')"
+
+
+def file_words(x: str) -> str:
+    """The words of a file name as ``names.file_name_words`` parts it."""
+    return f"trim(regexp_replace(lower({x}), '[^0-9a-z]+', ' ', 'g'))"
