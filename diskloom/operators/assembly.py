@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from diskloom.functions import names as N
 from diskloom.operators.relational import first_present, joined_distinct, ranked_in
+from diskloom.operators.skew import lookup_join
 
 
 def filled_dumps(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], flags: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -103,3 +104,60 @@ def ranked_sources(local: DataFrame, online: DataFrame) -> DataFrame:
     a = local.select("disk_id", F.lit(0).alias("c"), F.lit("file").alias("kind"), F.col("path").alias("ref"), F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), F.lit(0).alias("priority"))
     b = online.select("disk_id", F.lit(1).alias("c"), F.lit("download").alias("kind"), F.col("url").alias("ref"), F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "priority")
     return ranked_in(a.unionByName(b), ["disk_id"], ["bad", "c", "rank", "priority", "ref"], "place").select("disk_id", "place", "kind", "ref")
+
+
+def pictures_by_dump(pictures: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``name, media`` of each dated dump name: its pictures in the order of their kinds.
+
+    ``pictures``: name, kind, url. Names without a date ("(1990)...") stand for no dump.
+    """
+    dated = pictures.where(F.col("name").rlike(r"\([12][0-9xX]{3}(-[0-9xX]{2}){0,2}\)"))
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    return dated.groupBy("name").agg(F.transform(F.array_sort(F.collect_set(F.struct(place.alias("p"), "url", "kind"))), lambda x: F.struct(x["kind"].alias("kind"), x["url"].alias("url"))).alias("media"))
+
+
+def picture_counts(addresses: DataFrame, cached: DataFrame) -> DataFrame:
+    """How many different pictures each source has, how many of them are in the cache with their bytes, and how many are left: ``source, host, cached, bytes, left``.
+
+    ``addresses``: url, source; ``cached``: url, bytes.
+    """
+    rows = addresses.groupBy("url").agg(F.min("source").alias("source")).withColumn("host", N.host_of(F.col("url")))
+    j = rows.join(cached.groupBy("url").agg(F.max("bytes").alias("bytes")), "url", "left")
+    return j.groupBy("source", "host").agg(F.count("bytes").alias("cached"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("bytes").isNull()).alias("left"))
+
+
+def disc_folders(discs: DataFrame, categories: DataFrame, names: dict[str, str], kinds: dict[str, str], default: str) -> DataFrame:
+    """``disk_id, platform_folder, type_folder, crew_folder`` under which a disc is filed.
+
+    ``discs``: id, platform, kind, in_series, group_name, series_name, cracker, publisher, as the user corrected them;
+    ``categories``: disk_id, category of discs that list titles (``relational.majority``). A disc without titles goes
+    by its kind (``kinds``), else to ``default``.
+    """
+    pick = lambda table, c: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c)
+    j = discs.join(categories.withColumnRenamed("disk_id", "id"), "id", "left")
+    crew = disc_crew(F.col("group_name"), F.col("series_name"), F.col("cracker"), F.col("publisher"), F.col("in_series"))
+    folder = F.coalesce(pick(names, F.col("platform")), F.col("platform"), F.lit("Unknown platform"))
+    return j.select(F.col("id").alias("disk_id"), folder.alias("platform_folder"), F.coalesce("category", pick(kinds, F.col("kind")), F.lit(default)).alias("type_folder"), crew.alias("crew_folder"))
+
+
+def location_hashes(locations: DataFrame, images: DataFrame) -> DataFrame:
+    """Locations (location_id, image_id, hash_kind, hash_value) whose hash is blanked where their dump has the same one."""
+    own = images.select("image_id", F.explode(F.array(*(F.struct(F.lit(k).alias("hash_kind"), F.lower(k).alias("_own")) for k in ("md5", "sha1", "sha512", "crc32")))).alias("x")).select("image_id", "x.*")
+    j = locations.join(own, ["image_id", "hash_kind"], "left")
+    return j.withColumn("hash_value", F.when(F.lower("hash_value") == F.col("_own"), "").otherwise(F.col("hash_value"))).drop("_own")
+
+
+def merge_totals(merged: DataFrame, records: DataFrame) -> DataFrame:
+    """What became of the records of each source (``merged`` of ``merge.merge_records``): ``source, way, n``; attach-only records that no disc took count as dropped."""
+    return lookup_join(merged.select("record_id", "way"), records.select("record_id", "source").distinct(), "record_id", "inner").groupBy("source", "way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unplaced(items: DataFrame, placed: DataFrame, item_id: str = "item_id") -> DataFrame:
+    """How many items of each source found no place: ``source, n, unplaced``."""
+    hit = placed.select(item_id).distinct().withColumn("_hit", F.lit(True))
+    return items.join(hit, item_id, "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hit").isNull()).alias("unplaced"))
+
+
+def new_series(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Series that records name and no list declares, to be registered: ``id, platform, n`` records of each."""
+    return rows.where("series_key <> ''").groupBy(F.col("series_key").alias("id")).agg(F.min("platform").alias("platform"), F.count(F.lit(1)).alias("n")).join(listed.select("id"), "id", "left_anti")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diskloom.functions.images import inspect_image
+
 
 def valid_signatures(signatures: DataFrame, size: int) -> DataFrame:
     """Signatures (``ord, name, offset, length, sha1``) whose window lies within a block of ``size`` bytes and whose hash is one."""
@@ -74,7 +76,42 @@ def classify(blocks: DataFrame, signatures: DataFrame, markers: DataFrame, filed
         .when(F.col("w_name").isNotNull(), F.struct(F.lit("virus").alias("status"), F.col("w_name").alias("name"), F.lit("signature").alias("source")))
         .when(F.col("f").isNotNull(), F.struct(F.when(F.col("f.class") == "v", "virus").otherwise("known").alias("status"), F.col("f.name").alias("name"), F.lit("filed").alias("source")))
         .when(F.col("m_name").isNotNull(), F.struct(F.lit("virus").alias("status"), F.col("m_name").alias("name"), F.lit("marker").alias("source")))
-        .when(~F.col("boot_runs") | F.col("does_nothing"), F.struct(F.lit("inactive").alias("status"), F.lit("").alias("name"), F.lit("").alias("source")))
+        .when(~F.col("boot_runs") | F.coalesce("does_nothing", F.lit(False)), F.struct(F.lit("inactive").alias("status"), F.lit("").alias("name"), F.lit("").alias("source")))
         .otherwise(F.struct(F.lit("unknown").alias("status"), F.lit("").alias("name"), F.lit("").alias("source")))
     )
     return j.select("id", status.alias("s")).select("id", "s.*")
+
+
+def inspected_blocks(files: DataFrame) -> DataFrame:
+    """Files (id, name, content) as ``classify`` takes them; images without sectors have no row."""
+    rows = files.withColumn("i", inspect_image(F.col("content"), F.col("name"))).where("i.boot IS NOT NULL")
+    return rows.select("id", *(F.col(f"i.{c}").alias(c) for c in ("platform", "boot", "boot_crc", "boot_valid", "boot_runs", "does_nothing")))
+
+
+def same_virus(a: Column, b: Column) -> Column:
+    """Whether two names of a virus are one: the words of one are the first words of the other."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    x, y = words(a), words(b)
+    n = F.least(F.size(x), F.size(y))
+    return (n > 0) & (F.slice(x, F.lit(1), n) == F.slice(y, F.lit(1), n))
+
+
+def disc_reports(used: DataFrame, statuses: DataFrame, images: DataFrame) -> DataFrame:
+    """The virus report of the dump that each disc would be written from: ``disk_id, status, name, source, alternate``.
+
+    ``used``: disk_id, entry_id (a file of the library, or NULL), image_id (its dump, or NULL); ``statuses``: id of the
+    entry and what ``classify`` says; ``images``: image_id, disk_id, name, rank, bad, virus (as the catalogue flags it).
+    A checked block decides before the flag; a flag on a block that says nothing makes it flagged. Where the virus may
+    not be removed, the best clean dump of the disc is named. Discs without a block to check and without a flag have
+    no row.
+    """
+    flags = images.select("image_id", F.nullif("virus", F.lit("")).alias("flag"))
+    j = used.join(statuses.select(F.col("id").alias("entry_id"), "status", "name", "source"), "entry_id", "left").join(flags, "image_id", "left")
+    told = F.col("status").isin("virus", "known", "inactive")
+    flagged = F.struct(F.lit("flagged").alias("status"), F.col("flag").alias("name"), F.lit("catalogue").alias("source"))
+    own = F.struct("status", "name", "source")
+    report = F.when(F.col("status").isNotNull() & (told | F.col("flag").isNull()), own).when(F.col("flag").isNotNull(), flagged)
+    rows = j.withColumn("r", report).where("r IS NOT NULL").select("disk_id", "image_id", "r.*")
+    clean = images.where("coalesce(virus, '') = '' AND NOT coalesce(bad, false)").select("disk_id", F.col("image_id").alias("_i"), F.struct("rank", F.col("image_id").alias("id"), F.col("name").alias("n")).alias("c"))
+    best = rows.where("status IN ('flagged', 'virus')").select("disk_id", "image_id").join(clean, "disk_id").where(~F.col("_i").eqNullSafe(F.col("image_id"))).groupBy("disk_id").agg(F.min("c")["n"].alias("alternate"))
+    return rows.join(best, "disk_id", "left").select("disk_id", "status", "name", "source", F.coalesce("alternate", F.lit("")).alias("alternate"))

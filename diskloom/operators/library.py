@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from diskloom.functions import names as N
 from diskloom.functions.dumpnames import dump_name, tidy_label
 from diskloom.functions.images import inspect_image
+from diskloom.session import cut
 from diskloom.operators.relational import latest_rows, match_in_order, present, ranked_in, upsert
 from diskloom.sources.files import expand_archives, with_hashes
 
@@ -203,3 +204,86 @@ def recent_sessions(sessions: DataFrame, items: DataFrame, n: int) -> DataFrame:
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """A table without rows."""
     return spark.createDataFrame([], schema)
+
+
+def search_unmatched(entries: DataFrame, text: str, limit: int = 200) -> DataFrame:
+    """Entries (id, disk_id, display_name, label, listing, path, member) without a disc whose names hold every word of a text, best first.
+
+    Words match the beginnings of words of name, label and file listing, ranked by bm25; without a word all such
+    entries come in order of their names.
+    """
+    from diskloom.operators import textindex as X
+    from diskloom.plans.find import plain_words
+
+    rows = entries.where("disk_id IS NULL")
+    expression = X.word_query(plain_words(text))
+    if expression is None:
+        return rows.orderBy("display_name", "path", "member").limit(limit)
+    fields = ["display_name", "label", "listing"]
+    texts = entries.select("id", *(N.search_text(F.coalesce(c, F.lit(""))).alias(c) for c in fields))  # rarity counts all entries, as the index holds all
+    found = X.ranked(X.text_index(texts, "id", dict.fromkeys(fields, 1.0), cut(X.build_postings(texts, "id", fields))), expression)
+    return rows.join(found, "id").orderBy("rank", "display_name", "id").limit(limit)
+
+
+def library_counts(entries: DataFrame) -> DataFrame:
+    """Images, matched and unmatched ones, copies of the same data and folders of a library, in one row."""
+    data = F.when(F.coalesce("raw_md5", F.lit("")) != "", F.col("raw_md5")).otherwise(F.col("md5"))
+    n, matched = F.count(F.lit(1)), F.count("disk_id")
+    return entries.agg(n.alias("images"), matched.alias("matched"), (n - matched).alias("unmatched"), (F.count(data) - F.countDistinct(data)).alias("copies"), F.countDistinct(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("folders"))
+
+
+def scanned_files(entries: DataFrame) -> DataFrame:
+    """What a scan knows of each file: ``path, size, mtime, error``, an error of any of its images counts."""
+    return entries.groupBy("path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"), F.coalesce(F.max(present(F.col("error"))), F.lit("")).alias("error"))
+
+
+def infected_entries(entries: DataFrame, limit: int = 200) -> DataFrame:
+    """Images whose boot block holds a virus, in order of their names; their number is the ``count`` of the unlimited ones."""
+    return entries.where("boot_status = 'virus'").orderBy("display_name", "path", "member").limit(limit)
+
+
+def checked_blocks(entries: DataFrame) -> DataFrame:
+    """Images whose boot block was checked, to be checked again when the reference data changes."""
+    return entries.where("coalesce(boot_status, '') <> ''")
+
+
+def recheck_blocks(entries: DataFrame, statuses: DataFrame, fingerprint: str, known: str) -> DataFrame:
+    """``id, boot_status, boot_name`` of entries whose status is other under the reference data of ``fingerprint``; none if that was ``known``.
+
+    ``statuses``: id, status, name, as ``boot.classify`` gives them for the blocks that could be read.
+    """
+    if fingerprint == known:
+        return statuses.where("false").select("id", F.col("status").alias("boot_status"), F.col("name").alias("boot_name"))
+    j = checked_blocks(entries).select("id", "boot_status", "boot_name").join(statuses, "id")
+    other = ~(F.col("boot_status").eqNullSafe(F.col("status")) & F.coalesce("boot_name", F.lit("")).eqNullSafe(F.coalesce("name", F.lit(""))))
+    return j.where(other).select("id", F.col("status").alias("boot_status"), F.col("name").alias("boot_name"))
+
+
+def link_files(kept: DataFrame, entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``kept`` (path, member, sha1, kept_disk, source) with files linked to discs (``wanted``: path, disk_id, source).
+
+    Only a file with a single image that matches no dump can be linked: a match wins over a link. Linking again
+    replaces the link.
+    """
+    own = F.lower(F.coalesce(present(F.col("raw_sha1")), F.col("sha1")))
+    single = entries.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count("image_id").alias("m"), F.min("member").alias("member"), F.min(own).alias("sha1")).where("n = 1 AND m = 0 AND sha1 <> ''")
+    fresh = wanted.join(single, "path").select("path", "member", "sha1", F.col("disk_id").alias("kept_disk"), "source").dropDuplicates(["path"])
+    return upsert(kept, fresh, ["path", "member"])
+
+
+def unlink_files(kept: DataFrame, paths: DataFrame) -> DataFrame:
+    """``kept`` without the links of some files."""
+    return kept.join(paths.select("path").distinct(), "path", "left_anti")
+
+
+def relink(stored: DataFrame, stored_stamp: str, disks: DataFrame, images: DataFrame, stamp: str) -> tuple[DataFrame, str]:
+    """Corrections or links carried over to a new snapshot, and its stamp; the same ones if the stamp has not changed, so it is done once.
+
+    ``stored``: disk_id (of the old snapshot), payload columns, and ``identity``, the struct of ``identities`` that was
+    stored with them. A row whose disc is gone keeps its identity with a NULL disc.
+    """
+    if stamp == stored_stamp:
+        return stored, stamp
+    wanted = stored.select(F.col("disk_id").alias("key"), "identity.*").dropDuplicates(["key"])
+    found = find_discs(wanted, disks, images).select(F.col("key").alias("disk_id"), F.col("disk_id").alias("_now"))
+    return stored.join(found, "disk_id", "left").withColumn("disk_id", F.col("_now")).drop("_now"), stamp

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diskloom.operators.library import contents_summary
 from diskloom.operators.relational import ranked_in
+from diskloom.operators.skew import lookup_join
 from diskloom.plans.catalogue import Catalogue
 from diskloom.plans.find import Page
 
@@ -68,3 +69,53 @@ def statistics(catalogue: Catalogue, library: DataFrame) -> DataFrame:
 def titles_in_place(contents: DataFrame) -> DataFrame:
     """Titles of each disc numbered from 1 in menu order."""
     return ranked_in(contents, ["disk_id"], ["position", "id"], "place")
+
+
+def credit_template(credit: Column, page: Column) -> Column:
+    """A credit line as it is stored: its braces doubled, and the page's address in it (without scheme) as "{page}"."""
+    bare = F.regexp_replace(page, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    doubled = F.replace(F.replace(credit, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+    return F.when(F.coalesce(bare, F.lit("")) == "", doubled).otherwise(F.replace(doubled, bare, F.lit("{page}")))
+
+
+def media_credit(template: Column, page: Column) -> Column:
+    """A stored credit line with the page's address put in and doubled braces made single; a line with lone braces as it is."""
+    bare = F.coalesce(F.regexp_replace(page, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(template, r"\{\{|\}\}", ""), r"\{page\}", "")
+    parts = F.split(template, r"\{page\}")
+    filled = F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))), "\x1f")
+    return F.when(plain.rlike("[{}]"), template).otherwise(F.replace(filled, F.lit("\x1f"), bare))
+
+
+def media_rows(media: DataFrame, prefixes: DataFrame, credits: DataFrame) -> DataFrame:
+    """Pictures with their addresses and credits written out, each address of a disc once, the first by rank, disc before titles, id.
+
+    ``media``: id, disk_id, content_id, kind, rank, and (prefix id, rest) of url, page and thumb; ``prefixes``: id, text;
+    ``credits``: id, source, credit. An address is its prefix and its rest; page and thumb may have none.
+    """
+    part = lambda n: prefixes.select(F.col("id").alias(f"{n}_prefix"), F.col("text").alias(f"_{n}"))
+    whole = lambda n: F.coalesce(F.concat(f"_{n}", F.coalesce(f"{n}_rest", F.lit(""))), F.lit(""))
+    j = lookup_join(lookup_join(lookup_join(media, part("url"), "url_prefix", "inner"), part("page"), "page_prefix"), part("thumb"), "thumb_prefix")
+    j = lookup_join(j, credits.select(F.col("id").alias("credit_id"), "source", "credit"), "credit_id", "inner")
+    rows = j.select("id", "disk_id", "content_id", "kind", "rank", whole("url").alias("url"), whole("page").alias("page_url"), whole("thumb").alias("thumb_url"), "source", "credit")
+    first = ranked_in(rows, ["disk_id", "url"], ["rank", F.col("content_id").isNotNull(), "id"], "_k").where("_k = 1").drop("_k")
+    return first.withColumn("credit", media_credit(F.col("credit"), F.col("page_url")))
+
+
+def location_rows(locations: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Download locations with their addresses written out: ``locations`` has (prefix id, rest) of url and page."""
+    part = lambda n: prefixes.select(F.col("id").alias(f"{n}_prefix"), F.col("text").alias(f"_{n}"))
+    whole = lambda n: F.coalesce(F.concat(f"_{n}", F.coalesce(f"{n}_rest", F.lit(""))), F.lit(""))
+    j = lookup_join(lookup_join(locations, part("url"), "url_prefix", "inner"), part("page"), "page_prefix")
+    gone = ["_url", "_page", *(f"{n}_{x}" for n in ("url", "page") for x in ("prefix", "rest"))]
+    return j.withColumn("url", whole("url")).withColumn("page_url", whole("page")).drop(*gone)
+
+
+def trivia_rows(trivia: DataFrame, contents: DataFrame) -> DataFrame:
+    """Facts, notes and articles of discs with their place: what is about the disc first, then about its titles in menu order.
+
+    An article carries its title in ``title`` too.
+    """
+    rows = lookup_join(trivia, contents.select(F.col("id").alias("content_id"), "position"), "content_id")
+    placed = ranked_in(rows, ["disk_id"], [F.col("content_id").isNotNull(), "position", "id"], "place")
+    return placed.withColumn("title", F.when(F.col("kind") == "wikipedia", F.col("text")).otherwise("")).drop("position")
