@@ -213,12 +213,21 @@ def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["node", "grp"]]
 
 
+#: Pairs of members that are handed on at a time, so long rosters take no more memory.
+PAIR_BATCH = 50_000
+
+
 def _member_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple[str, int, str]] = []
     for b in batches:
         for roster, m in zip(b["roster"], b["members"]):
             m = list(m)
-            for i in range(len(m) - 1):  # a list at a time, so long rosters take no more memory than their length
-                yield pd.DataFrame({"roster": roster, "n": len(m), "pair": [f"{m[i]}\x1f{y}" for y in m[i + 1 :]]})
+            for i in range(len(m) - 1):
+                rows += [(roster, len(m), f"{m[i]}\x1f{y}") for y in m[i + 1 :]]
+                if len(rows) >= PAIR_BATCH:
+                    yield pd.DataFrame(rows, columns=["roster", "n", "pair"])
+                    rows = []
+    yield pd.DataFrame(rows, columns=["roster", "n", "pair"])
 
 
 def _rosters(known: DataFrame) -> DataFrame:
