@@ -169,7 +169,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[[any(within_edits(t, f) for f in fs) for t, fs in zip(b["glued"], b["forms"])], ["name", "listed", "score"]]
 
 
-def match_names(typed: DataFrame, listed: DataFrame, *, least_score: float = 0.45, least_margin: float = 0.12) -> DataFrame:
+def match_names(typed: DataFrame, listed: DataFrame, *, least_score: float = 0.35, least_margin: float = 0.05) -> DataFrame:
     """The listed name that each typed name (both in a column ``name``) means: ``name, listed, score``.
 
     An inverted index of character trigrams over the forms of the listed names gives the candidates: all that share
