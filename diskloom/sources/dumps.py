@@ -19,7 +19,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+# The tokens of SQL literals.
 _QUOTED = r"'(?:[^'\\]|\\.|'')*'"
+_INSIDE = re.compile(r"(?:[^'\\]|\\.|'')*'", re.S)
 _PIECE = re.compile(rf"{_QUOTED}|[^';]+|[';]", re.S)
 _CREATE = re.compile(r"\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*\(", re.I)
 _COLUMN = re.compile(r"^\s*`(\w+)`\s+(\w+)", re.M)
@@ -44,25 +46,36 @@ def open_text(path: str) -> io.TextIOBase:
 
 
 def statements(lines: Iterable[str]) -> Iterator[str]:
-    """The statements of a script without their ";". A ";" or a line end inside quotes does not end one; comment lines are dropped."""
+    """The statements of a script without their ";". A ";" or a line end inside quotes does not end one; comment lines are dropped.
+
+    Each line is looked at once, also within a quoted value of many lines.
+    """
     held: list[str] = []
-    tail = ""
+    quoted = False
     for line in lines:
-        if not held and not tail and (line.startswith(("--", "/*", "#")) or not line.strip()):
+        at = 0
+        if quoted:
+            closed = _INSIDE.match(line)
+            if closed is None:
+                held.append(line)
+                continue
+            held.append(closed[0])
+            at, quoted = closed.end(), False
+        elif not held and (line.startswith(("--", "/*", "#")) or not line.strip()):
             continue
-        text, tail = tail + line, ""
-        for m in _PIECE.finditer(text):
+        for m in _PIECE.finditer(line, at):
             piece = m[0]
             if piece == ";":
                 yield "".join(held)
                 held = []
             elif piece == "'":  # a quote that is not closed on this line
-                tail = text[m.start() :]
+                held.append(line[m.start() :])
+                quoted = True
                 break
             else:
                 held.append(piece)
-    if "".join(held).strip() or tail:
-        yield "".join(held) + tail
+    if "".join(held).strip():
+        yield "".join(held)
 
 
 def _text(quoted: str) -> str:
@@ -204,7 +217,10 @@ class _Reader(DataSourceReader):
 
 
 class SqlDump(DataSource):
-    """Options: ``path`` (a file or pattern), ``table``, and ``rename`` ("new=old, ...") for columns that newer dumps name otherwise."""
+    """Options: ``path`` (a file or pattern), ``table``, ``columns`` ("a, b", all if not given), and ``rename`` ("new=old, ...") for columns that newer dumps name otherwise.
+
+    Values of columns that are not asked for are passed over without being converted or sent to Spark.
+    """
 
     copied = False
 
@@ -222,7 +238,11 @@ class SqlDump(DataSource):
 
     def schema(self):
         renamed = self._renamed()
-        return StructType([StructField(renamed.get(n, n), k) for n, k in _declared(self._paths()[0], self.options["table"], self.copied)])
+        fields = [StructField(renamed.get(n, n), k) for n, k in _declared(self._paths()[0], self.options["table"], self.copied)]
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        if missing := [c for c in wanted if c not in {f.name for f in fields}]:
+            raise DumpError(f"{self.options['table']} has no column {', '.join(missing)}")
+        return StructType([f for f in fields if not wanted or f.name in wanted])
 
     def reader(self, schema):
         return _Reader(self._paths(), self.options["table"], self.copied, schema, self._renamed())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # What files are looked at, by suffix.
 IMAGE_SUFFIXES = ("adf", "adz", "dim", "dms", "gz", "img", "ipf", "msa", "raw", "scp", "st", "stx", "hfe")
 ARCHIVE_SUFFIXES = ("zip", "7z", "lha", "lzh")
-#: Unpacked bytes of one member, and archives within archives, that are read.
+#: Unpacked bytes of one member, and archives within archives, that are read if not told otherwise.
 MOST_BYTES, MOST_NESTED = 64 << 20, 1
 
 
@@ -57,11 +57,12 @@ def _kind(data: bytes, name: str) -> str:
     return "lzh" if data[2:5] == b"-lh" else ""
 
 
-def members(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes | None, str]]:
+def members(name: str, data: bytes, depth: int = 0, *, most_bytes: int = MOST_BYTES, most_nested: int = MOST_NESTED) -> Iterator[tuple[str, bytes | None, str]]:
     """(member, bytes, error) of an archive; members of an archive inside it are named "outer::inner".
 
-    A member that is too large, damaged, or packed in a way that needs a tool of its own gives an error in place of
-    bytes, and the others go on.
+    A member of more than ``most_bytes``, damaged, or packed in a way that needs a tool of its own gives an error in
+    place of bytes, and the others go on; archives are opened ``most_nested`` deep. The bounds keep a small file that
+    unpacks without end from filling a task; raise them where such files are known to be sound.
     """
     kind = _kind(data, name)
     if kind == "gz":
@@ -69,8 +70,8 @@ def members(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes
         inner = base[:-3] if base.lower().endswith(".gz") else base[:-4] + ".adf" if base.lower().endswith(".adz") else base
         try:
             with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-                body = f.read(MOST_BYTES + 1)
-            yield (inner, None, "larger than is read") if len(body) > MOST_BYTES else (inner, body, "")
+                body = f.read(most_bytes + 1)
+            yield (inner, None, "larger than is read") if len(body) > most_bytes else (inner, body, "")
         except (OSError, EOFError, zlib.error) as e:
             yield inner, None, str(e)
         return
@@ -86,7 +87,7 @@ def members(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes
         member = safe_name(info.filename)
         if not member:
             continue
-        if info.file_size > MOST_BYTES:
+        if info.file_size > most_bytes:
             yield member, None, "larger than is read"
             continue
         try:
@@ -94,26 +95,29 @@ def members(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes
         except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, OSError) as e:
             yield member, None, str(e)
             continue
-        if depth < MOST_NESTED and _kind(body, member) == "zip":
-            for inner, found, error in members(member, body, depth + 1):
+        if depth < most_nested and _kind(body, member) == "zip":
+            for inner, found, error in members(member, body, depth + 1, most_bytes=most_bytes, most_nested=most_nested):
                 yield f"{member}::{inner}", found, error
         else:
             yield member, body, ""
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for path, data in zip(b["path"], b["content"]):
-            if _kind(data, path):
-                rows = [(path, m, body, error) for m, body, error in members(path, data)]
-            else:
-                rows = [(path, "", data, "")]
-            yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
+def _expand(most_bytes: int, most_nested: int):
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, data in zip(b["path"], b["content"]):
+                if _kind(data, path):
+                    rows = [(path, m, body, error) for m, body, error in members(path, data, most_bytes=most_bytes, most_nested=most_nested)]
+                else:
+                    rows = [(path, "", data, "")]
+                yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
 
+    return expand
 
-def expand_archives(files: DataFrame) -> DataFrame:
-    """Every image in files (``path, content``): the file itself or the members of an archive, ``path, member, content, error``."""
-    return files.select("path", "content").mapInPandas(_expand, "path string, member string, content binary, error string")
+
+def expand_archives(files: DataFrame, *, most_bytes: int = MOST_BYTES, most_nested: int = MOST_NESTED) -> DataFrame:
+    """Every image in files (``path, content``): the file itself or the members of an archive, ``path, member, content, error`` (see ``members``)."""
+    return files.select("path", "content").mapInPandas(_expand(most_bytes, most_nested), "path string, member string, content binary, error string")
 
 
 def with_hashes(rows: DataFrame, content: str = "content") -> DataFrame:

@@ -39,6 +39,8 @@ class Store:
 
     def rename(self, old: str, new: str) -> None:
         """Rename a file or folder; a file takes the place of an old one."""
+        if not self.exists(old):
+            raise FileNotFoundError(old)
         if self.exists(new) and not self.is_folder(new):
             self._fs.delete(self.path(new), False)
         if not self._fs.rename(self.path(old), self.path(new)):
