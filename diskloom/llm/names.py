@@ -266,6 +266,7 @@ def _weak_members(rosters: DataFrame, shared: DataFrame, whole: DataFrame, settl
 
 def _group(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Group of every node under string edges ``a, b``: ``node, grp`` (a node without edges is its own group)."""
+    edges = cut(edges)
     code = string_codes(nodes.select("node").unionByName(edges.select(F.col("a").alias("node"))).unionByName(edges.select(F.col("b").alias("node"))), "node")
     lows = connected_groups(edges.select(code("a").alias("src"), code("b").alias("dst")))
     coded = nodes.select("node", code("node").alias("code"))
