@@ -167,7 +167,7 @@ def pictures_of_dump_names(spark: SparkSession, d: str) -> DataFrame:
     SELECT d.record_id AS disk_id, b.name || CASE WHEN number IS NULL THEN '' ELSE ' ' || number::VARCHAR END AS label, trim(coalesce(notes, '')) AS notes, t.titles
     FROM d JOIN (SELECT batch_id AS set_id, name FROM source_batches) b USING (set_id) LEFT JOIN t USING (record_id)""")
 def menu_disc_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records joined from seven tables: sets, menus, discs, people, crews, titles and dumps."""
+    """Records joined from sets, menus, discs, titles and dumps; conditions, people and crews are empty here, as no table holds them."""
     rows = table(spark, d, "disk_records").groupBy("record_id").agg(F.min_by("batch_id", "record_id").alias("batch_id"), F.min("part").alias("part"), F.min("notes").alias("notes"), F.min("number").alias("number"))
     sets = table(spark, d, "source_batches").select(F.col("batch_id").alias("id"), "name")
     menus = rows.select(F.col("record_id").alias("id"), F.col("batch_id").alias("set_id"), "number", F.lit(None).cast("string").alias("issue"), F.lit(None).cast("string").alias("version"))
