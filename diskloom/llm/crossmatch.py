@@ -384,10 +384,11 @@ def logistic(features: np.ndarray, right: np.ndarray, rounds: int = 25, ridge: f
 
 
 class ReleaseIndex:
-    """An inverted index of releases by all their attributes, ranked by BM25; records are the queries.
+    """An inverted index of releases, ranked by BM25 over checksums and years; records are the queries.
 
-    Terms of a release are its title, its records' checksums and years, and its publisher; a term's frequency is the
-    number of records that give it, rarity counts releases. A title's list of releases is never walked: releases that
+    Terms of a release are its records' checksums and years; a term's frequency is the number of records that give it.
+    The rarity of a checksum counts titles, that of a year releases. Title and publisher are not scored: all candidates
+    share the title, and records that name a publisher are not ranked. A title's list of releases is never walked: releases that
     share no other term with a record score 0, or less if their years contradict it, so any TOP + 1 of them, those without
     years first, stand for the rest, and the best TOP are exact.
     """
@@ -476,8 +477,8 @@ def match_records(records: DataFrame, *, least_confidence: float = 0.5) -> DataF
        titles of dumps with one telling checksum that differ somewhat more.
     2. Releases: the known publishers of a title, spellings merged, are its releases; each holds the attributes of its
        records.
-    3. Each record without a publisher is a query to the inverted index of releases (``ReleaseIndex``): BM25 over title,
-       checksums, years and publisher with exact top-k. Its confidence comes from the gap between the nearest release
+    3. Each record without a publisher is a query to the inverted index of releases (``ReleaseIndex``): BM25 over
+       checksums and years with exact top-k; title and publisher do not enter the score. Its confidence comes from the gap between the nearest release
        and the next, through a logistic calibrated on records whose publisher is known and hidden, and must reach
        ``least_confidence``. A checksum weighs by how few titles have it, in however many records; one that unrelated
        titles share (``FEW_TITLES``, ``ONE_TITLE``) tells nothing.
