@@ -112,13 +112,13 @@ def connected_groups(pairs: DataFrame, *, cell_edges: int = CELL_EDGES, cell_hot
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("lo")))
 
 
-def string_codes(nodes: DataFrame, column: str) -> Callable[[Column | str], Column]:
+def string_codes(nodes: DataFrame, column: str, hash_of: Callable[[Column], Column] = F.xxhash64) -> Callable[[Column | str], Column]:
     """A function from a column of strings to whole numbers, different for every two strings of ``nodes``.
 
     Numbers are 64-bit hashes. Whether two strings share one is checked, not hoped for: of such strings (about
-    n squared / 2^65 of n) all but the first are told apart by a number of their own below 0, hashes being 0 or more.
+    n squared / 2^65 of n) each gets a number of its own below 0, hashes being 0 or more.
     """
-    code = lambda c: F.xxhash64(c).bitwiseAND(F.lit(2**63 - 1))
+    code = lambda c: hash_of(F.col(c) if isinstance(c, str) else c).cast("long").bitwiseAND(F.lit(2**63 - 1))
     shared = nodes.select(F.col(column).alias("s")).distinct().groupBy(code("s").alias("h")).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("h")
     hashes = [r[0] for r in shared.collect()]  # none but for billions of strings
     if not hashes:

@@ -79,3 +79,18 @@ def test_encode_documents(spark):
 def test_fragments_change_nothing(text):
     e = encode._encoder(str(FILE))
     assert e.encode(text) == e.encoding.encode_ordinary(text)
+
+
+def test_strings_that_share_a_hash_get_different_numbers(spark):
+    names = ["ab", "cd", "ef", "abc", "xyz", "lone", "longer", "", "ab"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    weak = components.string_codes(df, "name", hash_of=F.length)
+    codes = dict(map(tuple, df.select("name", weak("name")).distinct().collect()))
+    assert len(set(codes.values())) == len(set(names)) and codes["lone"] == 4 and codes["ab"] < 0
+    strong = components.string_codes(df, "name")
+    assert all(c >= 0 for (c,) in df.select(strong(F.col("name"))).collect())
+
+
+def test_grid_grows_with_the_largest_degree(spark):
+    hub = [(0, i) for i in range(1, 400)] + [(1000, 1001)]
+    assert groups(spark, hub, cell_edges=10_000, cell_hot_edges=50) == brute(hub)
