@@ -155,3 +155,25 @@ def test_groups_aligned_in_chunks(spark, monkeypatch):
     whole, strict = voted(spark, rows, strict=False), voted(spark, rows)
     monkeypatch.setattr(survivor, "CHUNK", 4)
     assert voted(spark, rows, strict=False) == whole == {(1, 0), (2, 0)} and voted(spark, rows) == strict == {(1, 0), (2, 0)}
+
+
+def test_strict_trust_takes_no_vote(spark):
+    def plan(df):
+        return df._jdf.queryExecution().toString()
+
+    rnd = random.Random(7)
+    said = ["Acme Soft", "Acme Software", "Akme Soft", "The Acme Arts", "unknown", "Acm...", "", None]
+    rows = [(rnd.choice([*range(1, 60), None]), i, rnd.choice(said), rnd.choice(said), rnd.choice([1, 2, None])) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "g long, i long, v string, w string, p int")
+    ask = {"group": "g", "row_id": "i", "trust": [F.coalesce("p", F.lit(9))]}
+    strict, loose = survivor.surviving_rows(df, ["v", "w"], **ask), survivor.surviving_rows(df, ["v", "w"], strict=False, **ask)
+    assert "MapInPandas" not in plan(strict) and "MapInPandas" in plan(loose)  # the vote is taken only where it can decide
+    want = set()
+    for g in range(1, 60):
+        mine = sorted((p or 9, i, v, w) for h, i, v, w, p in rows if h == g) if sum(r[0] == g for r in rows) > 1 else []
+        for f, k in (("v", 2), ("w", 3)):
+            want |= {(g, f, r[1]) for r in [r for r in mine if r[k] in said[:4]][:1]}
+    got = [tuple(r) for r in strict.collect()]
+    assert set(got) == want and len(got) == len(want) and {tuple(r) for r in loose.collect()} != want
+    with pytest.raises(ValueError):
+        survivor.surviving_rows(df, ["v"], weight=F.lit(2.0), **ask)
